@@ -278,7 +278,7 @@ def cache_lru(spark, sf_dir):
 FIND = Source(("docs/**/*.en", "docs/*/*.fr"), ("docs/src1/**",), (".git", "src2"), (Pattern("find-1", "License", "License", literal=True),))
 MATCH = Source(("docs/**",), (), (), (Pattern("match-1", "credential", r"\b(?:token|secret|password)\s*[:=]", "i"),))
 MULTI = Source(("docs/**",), (), (), (*FIND.patterns, *MATCH.patterns, Pattern("match-2", "line", r"[A-Z]{2,}!!")))
-_V = "v AS (SELECT doc_id, 'docs/' || source || '/' || lpad(doc_id::VARCHAR, greatest(6, length(doc_id::VARCHAR)), '0') || '.' || lang AS source, coalesce(text, '') AS text FROM documents)"
+_V = "v AS (SELECT doc_id, 'docs/' || source || '/' || lpad(doc_id::VARCHAR, greatest(6, length(doc_id::VARCHAR))::INTEGER, '0') || '.' || lang AS source, coalesce(text, '') AS text FROM documents)"
 
 
 def _files(spark, sf_dir):
@@ -352,7 +352,7 @@ def candidate_id_hash(spark, sf_dir):
 
 
 def _window_sql(window: contracts.Window, line: str = "line") -> str:
-    shown = f"array_to_string(list_transform(generate_series(greatest(1, {line} - {window.before}), least(len(lines), {line} + {window.after})), lambda i: CASE WHEN i = {line} THEN '>' ELSE ' ' END || lpad(i::VARCHAR, greatest(5, length(i::VARCHAR)), ' ') || ' | ' || lines[i]), chr(10))"
+    shown = f"array_to_string(list_transform(generate_series(greatest(1, {line} - {window.before}), least(len(lines), {line} + {window.after})), lambda i: CASE WHEN i = {line} THEN '>' ELSE ' ' END || lpad(i::VARCHAR, greatest(5, length(i::VARCHAR))::INTEGER, ' ') || ' | ' || lines[i]), chr(10))"
     return f"CASE WHEN length({shown}) <= {window.chars} THEN {shown} ELSE left({shown}, {window.chars - 24}) || chr(10) || '[window truncated]' END"
 
 

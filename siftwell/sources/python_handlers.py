@@ -128,7 +128,7 @@ def parse_file(path: str, text: str) -> dict[str, list]:
             loop = next((p for p in _up(node, parents) if isinstance(p, (ast.For, ast.While, ast.AsyncFor, *FUNCTIONS))), None)
             returns = [clip(ast.unparse(n), 120) for n in _own(function.body) if isinstance(n, ast.Return)] if function else []
             tracked = sorted({t for n in _own(node.body) for t in targets(n)})
-            before = [(n.lineno, t) for n in (_own(function.body) if function else ()) if n.lineno < node.lineno for t in targets(n) if t in tracked] if function and all(hasattr(n, "lineno") for n in function.body) else []
+            before = [(n.lineno, t) for n in (_own(function.body) if function else ()) if isinstance(n, ast.stmt) and n.lineno < node.lineno for t in targets(n) if t in tracked]
             for h in node.handlers:
                 own = list(_own(h.body))
                 values = {t: sentinel(n.value) for n in own if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in targets(n) if sentinel(n.value)}
