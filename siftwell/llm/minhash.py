@@ -23,6 +23,8 @@ from . import shared
 
 WIDTH, PERMUTATIONS, BANDS, ROWS, HOT = 5, 128, 25, 5, 64
 CHUNK = 1 << 15
+#: Ranges of doc_id at most; each row is compared with their bounds.
+RANGES = 2048
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _A = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
@@ -115,7 +117,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     shared.bounded_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = shared.partitions(spark)
+    n = min(RANGES, shared.partitions(spark))  # a range is sorted with spills and streamed, so it may be of any size
     cuts = sorted(set(base.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
     cut_list = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
     part = F.coalesce(F.size(F.filter(cut_list, lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
