@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     Equal texts are one node. Bands of the signature join; in a band key of more than ``HOT`` nodes each node is compared with
     the key's smallest node and with its ``HOT`` neighbours in signature order, so no key gives all its pairs. Candidates are
-    verified on the whole shingle sets. Bands are a probabilistic filter: at 0.8 a pair is missed with a chance below 0.0001.
+    verified on the whole shingle sets. Bands are a probabilistic filter: at 0.8 a pair outside such crowds is missed with a chance
+    below 0.0001; inside one, a link between texts that no band makes neighbours can be lost.
     """
     spark = docs.sparkSession
     shared.bounded_batches(spark)
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     few = many.where(F.col("n") <= HOT)
     a, b = few.select("key", F.col("rep").alias("u")), few.select("key", F.col("rep").alias("v"))
     pairs = a.join(b, "key").where("u < v").select("u", "v")
-    # exact for the rest: a crowded key falls apart by the next rows of the signature, until its nodes are compared in blocks
+    # not all pairs of a crowd, so a link in it that no band shows here can be lost
     crowd = many.where(F.col("n") > HOT)
     star = crowd.where("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v"))
     near = Window.partitionBy("key").orderBy("at", "rep")
