@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import byte_bpe, langid, mixing, quality, shared, simhash
+from siftwell.llm import byte_bpe, jaccard, langid, mixing, quality, shared
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return simhash.survivors(docs)
+    """One document of each group of near-duplicates (five words, a Jaccard similarity of 0.8) stays, the one with the smallest id."""
+    return jaccard.survivors(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,142 @@
+"""Near-duplicates by an exact join of word-shingle sets: every pair with a Jaccard similarity of ``threshold`` or more is found.
+
+Words are runs of anything but ASCII white space, ASCII letters in lower case. A shingle is ``width`` words (fewer words: the whole
+sequence; none: no shingle) and counts once; sets hold 64-bit hashes. Two sets of likeness t or more share at least ``ceil(t*n)``
+of either's n shingles, so in any common order the first ``n - ceil(t*n) + 1`` of each share one: these are the join keys. The
+order puts shingles that are frequent in a bounded sample last; it changes the work and never the result. A key with more than
+``HOT`` sets is cut into blocks and each two blocks are a cell of the join, so all its pairs are compared and no task has them all.
+Candidates are verified on the whole sets.
+
+Null texts count as empty, and texts without a word are alike. Texts with the same set are one node. Repeated rows keep their rows;
+rows of one doc_id are one document. An empty table gives an empty table. Other columns are not looked at. Texts are read whole.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import minhash, shared
+
+WIDTH, THRESHOLD, HOT = 5, 0.8, 64
+#: Sets that the order is learned from, and shingles that it knows, at most.
+SAMPLE, OFTEN = 10_000, 50_000
+Order = tuple[np.ndarray, np.ndarray]
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct shingles of a text as signed 64-bit hashes."""
+    return np.unique(minhash.mixed((text or "").encode("utf-8", "surrogatepass").lower().split(), width).view(np.int64))
+
+
+def order(rows: DataFrame, read: Callable, sample: int = SAMPLE, most: int = OFTEN) -> Order:
+    """The shingles that several sampled sets have, sorted, and the count of each. ``rows``: (id, value); ``read`` makes a value's set."""
+    n = rows.count()
+    if n > sample:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [read(x) for x in batch.column(0).to_pylist()]
+            found, k = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(k.astype(np.int64))], names=["shingle", "n"])
+
+    counts = rows.select("value").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    top = sorted(tuple(r) for r in counts.orderBy(F.desc("n"), "shingle").limit(most).collect())
+    return np.array([s for s, _ in top], np.int64), np.array([k for _, k in top], np.int64)
+
+
+def prefix(items: np.ndarray, known: Order, threshold: float) -> np.ndarray:
+    """The join keys of a sorted distinct set; an empty set has the key 0."""
+    if not len(items):
+        return np.zeros(1, np.int64)
+    keys, counts = known
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, items), len(keys) - 1)
+        items = items[np.argsort(np.where(keys[at] == items, counts[at], 0), kind="stable")]
+    return items[: len(items) - math.ceil(threshold * len(items) * (1 - 1e-12)) + 1]
+
+
+def keyed(items: list[np.ndarray], known: Order, threshold: float) -> pa.Array:
+    """The join keys of each set as a list column."""
+    keys = [prefix(s, known, threshold) for s in items]
+    ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+
+
+def candidates(index: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
+    """(u, v), u < v: all pairs of ``index`` (id, size, key) that share a key and whose sizes allow the threshold."""
+    counted = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    blocks = F.ceil(F.col("n") / hot)
+    own = counted.select("key", "id", "size", F.pmod(F.xxhash64("id"), blocks).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    cells = shared.materialize(own.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "size", "own"), "jaccard-cells")
+    a = cells.select("key", "x", "y", F.col("id").alias("u"), F.col("size").alias("m"), F.col("own").alias("p"))
+    b = cells.select("key", "x", "y", F.col("id").alias("v"), F.col("size").alias("n"), F.col("own").alias("q"))
+    fits = F.least("m", "n") >= F.greatest("m", "n") * F.lit(threshold * (1 - 1e-12))
+    return a.join(b, ["key", "x", "y"]).where((F.col("u") < F.col("v")) & ((F.col("p") != F.col("q")) | (F.col("x") == F.col("y"))) & fits).select("u", "v").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str = "<i8") -> DataFrame:
+    """The (u, v) of ``pairs`` at the threshold; ``sets`` has (id, items), the distinct items as bytes of ``kind``."""
+    left = sets.select(F.col("id").alias("u"), F.col("items").alias("su"))
+    right = sets.select(F.col("id").alias("v"), F.col("items").alias("sv"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = np.frombuffer(x, kind), np.frombuffer(y, kind)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(len(p) + len(q) == 0 or both >= threshold * (len(p) + len(q) - both))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, class) for every row: th is a hash of the text; rows that are linked, directly or over others, share the class."""
+    shared.bounded_batches(docs.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    known = order(rows.select(F.col("th").alias("id"), F.col("text").alias("value")), lambda t: shingles(t, width))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), keyed(sets, sent.value, threshold)], names=["doc_id", "th", "node", "size", "keys"])
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).astype("<i8").tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "items"])
+
+    prints = shared.materialize(rows.mapInArrow(run, "doc_id long, th long, node long, size long, keys array<long>"), "jaccard-prints")
+    index = prints.dropDuplicates(["node"]).select(F.col("node").alias("id"), "size", F.explode("keys").alias("key"))
+    pairs = shared.materialize(candidates(index, threshold), "jaccard-pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    chosen = prints.join(asked, "node").groupBy("node").agg(F.min("th").alias("th"))
+    texts = rows.select("th", "text").join(chosen, "th").dropDuplicates(["node"]).select(F.col("node").alias("id"), "text")
+    edges = verified(pairs, shared.materialize(texts.mapInArrow(to_sets, "id long, items binary"), "jaccard-sets"), threshold)
+    several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("b")).where("u <> b").select("doc_id", "u")
+    tied = prints.join(several, "doc_id").select("u", F.col("node").alias("v"))  # rows of one doc_id are one document
+    found = shared.components(edges.union(tied), "u", "v")
+    return prints.join(found, prints["node"] == found["id"], "left").select("doc_id", "th", F.coalesce("component", "node").alias("class"))
+
+
+def survivors(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns kept: of each class one row of the document with the smallest id (of its texts
+    the one with the smallest hash); of a class in which no row has an id, the one row with the smallest hash."""
+    found = classes(docs, threshold, width, id_col, text_col)
+    nobody = F.lit(-(1 << 63))
+    k1, k2 = shared.fresh(docs, "kept_id"), shared.fresh(docs, "kept_th")
+    keep = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", nobody).alias("i"), "th")).alias("k")).select(F.col("k.i").alias(k1), F.col("k.th").alias(k2))
+    marked = docs.withColumn(k1, F.coalesce(docs[id_col].cast("long"), nobody)).withColumn(k2, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    return marked.join(keep, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[marked[c] for c in docs.columns])

@@ -46,11 +46,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
-    """32-bit hashes of the text's shingles, repeats included."""
-    words = text.encode("utf-8", "surrogatepass").split()
+def mixed(words: list[bytes], width: int) -> np.ndarray:
+    """64-bit hashes of the shingles of ``words``, repeats included."""
     if not words:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     w = min(width, len(words))
     n = len(words) - w + 1
@@ -59,7 +58,12 @@ def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
         out += h[k : k + n] * _POWERS[k]
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return out
+
+
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """32-bit hashes of the text's shingles, repeats included."""
+    return (mixed(text.encode("utf-8", "surrogatepass").split(), width) >> np.uint64(32)).astype(np.uint32)
 
 
 def signatures(texts: list[str], width: int = WIDTH) -> np.ndarray:

@@ -1,0 +1,93 @@
+"""The near-duplicate stage against brute force over all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from siftwell.llm import jaccard, queries
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_classes(rows):
+    """Smallest id of each id's class."""
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in root}
+
+
+def planted():
+    """Families at about 0.8 on both sides, a crowd of templated texts, texts with shared boilerplate, short and empty ones."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    draw = lambda n: [r.choice(words) for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = draw(120)
+        for k in (0, 1, 2, 3, 4, 6):
+            near = list(base)
+            for at in r.sample(range(120), k):
+                near[at] = "changed"
+            texts.append(" ".join(near))
+    shared = draw(200)
+    texts += [" ".join(shared + draw(24)) for _ in range(90)]
+    texts += [" ".join(shared[:30] + draw(60)) for _ in range(80)]
+    texts += ["", None, "  \n", "a b", "A  b", "a b c", "one two three four five", "ONE two three\tfour five", texts[0].upper()]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("hot", [8, 64])
+def test_stage_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(jaccard.candidates, "__defaults__", (hot,))
+    rows = planted()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class string").repartition(3)
+    want = brute_classes(rows)
+    stay = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert stay.columns == docs.columns
+    assert sorted(r["doc_id"] for r in stay.collect()) == sorted(set(want.values()))
+    assert max(list(want.values()).count(c) for c in set(want.values())) > 64
+
+
+def test_stage_on_the_tables(spark, sf_dir):
+    docs = queries.documents(spark, sf_dir)
+    want = brute_classes([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    assert sorted(r["doc_id"] for r in jaccard.survivors(docs).collect()) == sorted(set(want.values()))
+
+
+def test_rows_without_an_id_and_ties(spark):
+    rows = [(None, "a b c"), (None, "A b c"), (None, "other words"), (5, "Other words"), (5, "second text"), (9, "second  text"), (5, "second text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.survivors(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["5", "None"] and {r["text"].lower() for r in got if r["doc_id"] is None} == {"a b c"}
+    assert jaccard.survivors(docs.where("doc_id = 0")).count() == 0
+
+
+def test_prefixes_meet_in_any_order():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(r.integers(1, 60))
+        a = np.unique(r.integers(-99, 99, n))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.93], r.integers(-99, 99, int(r.integers(0, 3)))]))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            keys = np.unique(r.integers(-99, 99, 40))
+            known = (keys, r.integers(2, 9, len(keys)))
+            assert len(np.intersect1d(jaccard.prefix(a, known, 0.8), jaccard.prefix(b, known, 0.8)))
