@@ -178,15 +178,20 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, EDIT_SCHEMA)
 
 
+def as_items(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, "<u4").astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): documents whose shingle sets have a Jaccard similarity of ``threshold`` or more link; the
-    class is the smallest doc_id reachable. n_links counts the different texts linked directly among those compared.
+    class is the smallest doc_id reachable. n_links counts the different texts linked directly.
 
-    Equal texts are one node. Bands of the signature join; in a band key of more than ``HOT`` nodes each node is compared with
-    the key's smallest node and with its ``HOT`` neighbours in signature order, so no key gives all its pairs. Candidates are
-    verified on the whole shingle sets. Bands are a probabilistic filter: at 0.8 a pair outside such crowds is missed with a chance
-    below 0.0001; inside one, a link between texts that no band makes neighbours can be lost.
+    Equal texts are one node. Bands of the signature join. Nodes with a band key of more than ``HOT`` nodes are the crowd; among them
+    the exact join of :mod:`jaccard` finds every pair, in blocks, so no task gets all pairs of a key. Candidates are verified on the
+    whole shingle sets. Bands are a probabilistic filter: at 0.8 a pair outside the crowd is missed with a chance below 0.0001.
     """
+    from . import jaccard  # which needs the shingles of this module
+
     spark = docs.sparkSession
     shared.bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
@@ -203,32 +208,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     signed = shared.materialize(texts.where("rep IS NOT NULL").mapInArrow(run, "rep long, shingles binary, sig string"), "mh-signed")
     wide = ROWS * 4
     bands = F.array(*[F.struct(F.lit(b).alias("b"), F.substring("sig", b * wide + 1, wide).alias("k")) for b in range(BANDS)])
-    keyed = shared.materialize(signed.select("rep", F.explode(bands).alias("band"), F.xxhash64("sig").alias("at")).select("rep", "at", F.xxhash64("band.b", "band.k").alias("key")), "mh-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    many = keyed.join(sizes, "key")
+    keyed = shared.materialize(signed.select("rep", F.explode(bands).alias("band")).select("rep", F.xxhash64("band.b", "band.k").alias("key")), "mh-keys")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = shared.materialize(keyed.join(sizes, "key"), "mh-shared")
     few = many.where(F.col("n") <= HOT)
     a, b = few.select("key", F.col("rep").alias("u")), few.select("key", F.col("rep").alias("v"))
     pairs = a.join(b, "key").where("u < v").select("u", "v")
-    # not all pairs of a crowd, so a link in it that no band shows here can be lost
-    crowd = many.where(F.col("n") > HOT)
-    star = crowd.where("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v"))
-    near = Window.partitionBy("key").orderBy("at", "rep")
-    chain = crowd.select(F.lag("rep").over(near).alias("u"), F.col("rep").alias("v")).where("u IS NOT NULL").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    wanted = pairs.union(star).union(chain).distinct()
-    left = signed.select(F.col("rep").alias("u"), F.col("shingles").alias("su"))
-    right = signed.select(F.col("rep").alias("v"), F.col("shingles").alias("sv"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    crowd = shared.materialize(signed.join(many.where(F.col("n") > HOT).select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), F.col("shingles").alias("value")), "mh-crowd")
+    known = jaccard.order(crowd, as_items)
+    sent = spark.sparkContext.broadcast(known)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(len(p) + len(q) == 0 or both >= threshold * (len(p) + len(q) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
-
-    edges = shared.materialize(wanted.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"), "mh-edges")
+            sets = [as_items(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), jaccard.keyed(sets, sent.value, threshold)], names=["id", "size", "keys"])
+
+    inside = jaccard.candidates(crowd.mapInArrow(index, "id long, size long, keys array<long>").select("id", "size", F.explode("keys").alias("key")), threshold)
+    wanted = pairs.union(inside).distinct()
+    edges = shared.materialize(jaccard.verified(wanted, signed.select(F.col("rep").alias("id"), F.col("shingles").alias("items")), threshold, "<u4"), "mh-edges")
     label = shared.components(edges, "u", "v")
     degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     marked = nodes.join(label, nodes["rep"] == label["id"], "left").join(degree, "rep", "left").select("sha", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

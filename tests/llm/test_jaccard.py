@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from siftwell.llm import jaccard, queries
+from siftwell.llm import jaccard, minhash, queries
 
 
 def shingle_set(text):
@@ -91,3 +91,15 @@ def test_prefixes_meet_in_any_order():
             keys = np.unique(r.integers(-99, 99, 40))
             known = (keys, r.integers(2, 9, len(keys)))
             assert len(np.intersect1d(jaccard.prefix(a, known, 0.8), jaccard.prefix(b, known, 0.8)))
+
+
+def test_minhash_crowds_against_brute_force(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    shared = [r.choice(words) for _ in range(200)]
+    rows = [(i, " ".join(shared + [r.choice(words) for _ in range(r.choice((20, 24, 25, 27)))])) for i in range(300)]
+    sets = [shingle_set(t) for _, t in rows]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    want, got = brute_classes(rows), minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == want
+    assert {x["doc_id"]: x["n_links"] for x in got} == dict(enumerate(links)) and max(links) > 64
