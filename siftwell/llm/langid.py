@@ -3,7 +3,9 @@
 Learning counts the words (runs of letters, lower case) of labelled documents by language. A word that is among the ``WORDS`` most
 frequent of some language scores by its smoothed log frequency in each. Any other word is read as ``^word$``: at every position
 the longest known character n-gram (``GRAM`` down to one character) gives its log frequency, and the word scores their mean. A
-document's language is the one with the highest sum, its score the softmax of the sums.
+document's language is the one with the highest sum, its score the softmax of the sums. The softmax says nothing of a text that is
+in no language at all, so :func:`accepted` also asks for fluency, the mean log-likelihood of a character in that language, with a
+floor between its training documents and the same documents with shuffled letters.
 
 The fit is bounded: at most about ``FIT_DOCS`` labelled documents, taken by a hash of their ids (all of them where there are
 fewer), and at most ``WORDS`` words and ``GRAMS`` n-grams of each of the ``LANGS`` most frequent languages. Prediction reads every
@@ -13,6 +15,8 @@ languages teach nothing. Repeated rows stay rows; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +30,8 @@ from . import shared
 
 FIT_DOCS, WORDS, GRAMS, GRAM, LANGS = 20_000, 20_000, 10_000, 4, 256
 SMOOTHING, CACHED, CACHED_CHARS = 0.5, 300_000, 48
+#: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its floor.
+BACK, UNSEEN, FLOOR_DOCS = -0.9, -20.0, 200
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -34,13 +40,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> dict:
-    """The model as a small dict; ``docs`` are the rows to learn from."""
-    shared.bounded_batches(docs.sparkSession)
+def training(docs: DataFrame, lang_col: str, text_col: str, id_col: str, fit_docs: int) -> DataFrame:
+    """(id, lang, text) of the documents that teach."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     n = rows.count()
     if n > fit_docs:
         rows = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_003)) < int(1_000_003 * fit_docs / n))
+    return rows
+
+
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", fit_docs: int = FIT_DOCS) -> dict:
+    """The model as a small dict; ``docs`` are the rows to learn from."""
+    shared.bounded_batches(docs.sparkSession)
+    rows = training(docs, lang_col, text_col, id_col, fit_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +81,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         return out
 
     langs.sort()
-    return {"langs": langs, "words": _logs(top(words, "word", WORDS), langs), "grams": _logs(top(grams, "g", GRAMS), langs)}
+    seen = top(grams, "g", GRAMS)
+    return {"langs": langs, "words": _logs(top(words, "word", WORDS), langs), "grams": _logs(seen, langs), "seen": seen}
 
 
 def _logs(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, np.ndarray]:
@@ -88,6 +101,12 @@ class Scorer:
         self.rows: list[np.ndarray] = []
         self.index: dict[str, int] = {}
         self.table = np.zeros((0, len(self.langs)))
+        self.seen: dict[str, dict[str, int]] = {lang: {} for lang in self.langs}
+        for gram, by in model.get("seen", {}).items():
+            for lang, k in by.items():
+                self.seen[lang][gram] = k
+        self.letters = {lang: sum(k for g, k in by.items() if len(g) == 1) for lang, by in self.seen.items()}
+        self.fluent: dict[str, dict[str, float]] = {lang: {} for lang in self.langs}
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean over the positions of ``^word$`` of the longest known n-gram there."""
@@ -107,10 +126,43 @@ class Scorer:
         found = self.known.get(word)
         return self.backoff(word) if found is None else found
 
+    def characters(self, word: str, lang: str) -> float:
+        """The log-likelihood of the characters of ``word$``, each after at most GRAM - 1 before it; every step back costs BACK."""
+        w, seen, total = f"^{word}$", self.seen[lang], 0.0
+        for i in range(1, len(w)):
+            most = min(GRAM - 1, i)
+            for k in range(most, -1, -1):
+                found = seen.get(w[i - k : i + 1])
+                if found:
+                    total += min(0.0, math.log(found / (seen.get(w[i - k : i], found) if k else self.letters[lang]))) + (most - k) * BACK
+                    break
+            else:
+                total += UNSEEN
+        return total
+
+    def fluency(self, words: list[str], lang: str) -> float:
+        """The mean log-likelihood of a character of ``words`` in ``lang``."""
+        memo = self.fluent[lang]
+        if len(memo) > CACHED // max(1, len(self.langs)) + 10_000:
+            memo.clear()
+        total, n = 0.0, 0
+        for word, k in Counter(words).items():
+            found = memo.get(word)
+            if found is None:
+                found = self.characters(word, lang)
+                if len(word) <= CACHED_CHARS:
+                    memo[word] = found
+            total += k * found
+            n += k * (len(word) + 1)
+        return total / n
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge([WORD(t.lower()) if t else [] for t in texts])
+
+    def judge(self, cut: list[list[str]]) -> tuple[list[str], list[float]]:
+        """The language and score of each text, given its words."""
         if len(self.index) > CACHED:
             self.index, self.rows = {}, []
-        cut = [WORD(t.lower()) if t else [] for t in texts]
         new = list(set().union(*cut).difference(self.index)) if cut else []
         for w in new:
             self.index[w] = len(self.rows)
@@ -153,9 +205,53 @@ def identified(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def floors(rows: DataFrame, model: dict) -> dict[str, tuple[float, float]]:
+    """For each language (floor, usual): the usual fluency is the median of its training documents (id, lang, text), the floor lies
+    halfway from there to the median of the same documents with their letters shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for batch in batches:
+            out = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = WORD(text.lower())
+                if not words or lang not in scorer.seen:
+                    continue
+                letters = list("".join(words))
+                random.Random(len(letters)).shuffle(letters)
+                mixed, at = "".join(letters), 0
+                shuffled = [mixed[at : (at := at + len(w))] for w in words]
+                out.append((lang, scorer.fluency(words, lang), scorer.fluency(shuffled, lang)))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], names=["lang", "own", "shuffled"])
+
+    some = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("floor"), "id"), "text"))).where(F.col("r") <= FLOOR_DOCS)
+    found = some.select("lang", "text").mapInArrow(run, "lang string, own double, shuffled double").groupBy("lang").agg(F.median("own"), F.median("shuffled")).collect()
+    return {lang: (own - max(0.5, (own - junk) / 2), own) for lang, own, junk in found}
+
+
 def accepted(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least`` or more, all columns kept."""
-    model = fit(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))), text_col=text_col)
+    """The rows of ``docs`` whose language is found with a score of ``least`` or more, all columns kept. The score is the smaller
+    of the softmax and of the fluency in that language, a logistic value which is 0.5 at the language's floor."""
+    taught = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    model = fit(taught, text_col=text_col)
+    bounds = floors(training(taught, "lang", text_col, "doc_id", FIT_DOCS), model)
     lang, score = shared.fresh(docs, "found_lang"), shared.fresh(docs, "found_score")
-    out = with_language(docs, model, lang, score, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    hold: list[Scorer] = []
+
+    def compute(texts: list[str | None]) -> list[pa.Array]:
+        if not hold:
+            hold.append(Scorer(sent.value))
+        cut = [WORD(t.lower()) if t else [] for t in texts]
+        langs, scores = hold[0].judge(cut)
+        for i, (words, found) in enumerate(zip(cut, langs)):
+            if found in bounds:
+                floor, usual = bounds[found]
+                far = 4 * (hold[0].fluency(words, found) - floor) / (usual - floor)
+                scores[i] = min(scores[i], 1 / (1 + math.exp(-max(-50.0, min(50.0, far)))))
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+
+    out = shared.append(docs, text_col, [(lang, "string"), (score, "double")], compute)
     return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
