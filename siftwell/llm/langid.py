@@ -9,12 +9,13 @@ floor between its training documents and the same documents with shuffled letter
 
 The fit is bounded: at most about ``FIT_DOCS`` labelled documents, taken by a hash of their ids (all of them where there are
 fewer), and at most ``WORDS`` words and ``GRAMS`` n-grams of each of the ``LANGS`` most frequent languages. Prediction reads every
-whole text. A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing could be learned. Null
+whole text, and so does learning: words of any length count with all their n-grams, long ones under a digest. A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing could be learned. Null
 languages teach nothing. Repeated rows stay rows; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -32,10 +33,16 @@ FIT_DOCS, WORDS, GRAMS, GRAM, LANGS = 20_000, 20_000, 10_000, 4, 256
 SMOOTHING, CACHED, CACHED_CHARS = 0.5, 300_000, 48
 #: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its floor.
 BACK, UNSEEN, FLOOR_DOCS = -0.9, -20.0, 200
+PIECE, LONG = 1 << 15, "#"
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+").findall
 
 
+def named(word: str) -> str:
+    """The word, or of a long one LONG and a digest, so that the model stays small."""
+    return word if len(word) <= CACHED_CHARS else LONG + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
@@ -55,22 +62,36 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     rows = training(docs, lang_col, text_col, id_col, fit_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(words: Counter, grams: Counter) -> pa.RecordBatch:
+            out = [(lang, w, None, k) for (lang, w), k in words.items()] + [(lang, None, g, k) for (lang, g), k in grams.items()]
+            columns = list(zip(*out)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["lang", "word", "g", "n"])
+
         for batch in batches:
-            by: dict[str, Counter] = {}
+            words, grams = Counter(), Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, Counter()).update(WORD(text.lower()))
-            out = [(lang, word, k) for lang, words in by.items() for word, k in words.items() if len(word) <= CACHED_CHARS]
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["lang", "word", "n"])
-
-    words = rows.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = shared.materialize(words, "lang-words")
+                for word in WORD(text.lower()):
+                    words[lang, named(word)] += 1
+                    if len(word) > CACHED_CHARS:
+                        w = f"^{word}$"
+                        for at in range(0, len(w), PIECE):  # a very long run goes in pieces
+                            grams.update((lang, w[i : i + k]) for i in range(at, min(at + PIECE, len(w))) for k in range(1, GRAM + 1))
+                            if len(grams) > CACHED:
+                                yield rows_of(Counter(), grams)
+                                grams = Counter()
+            yield rows_of(words, grams)
+
+    counts = rows.select("lang", "text").mapInArrow(count, "lang string, word string, g string, n long").groupBy("lang", "word", "g").agg(F.sum("n").alias("n"))
+    counts = shared.materialize(counts, "lang-words")
+    words = counts.where("word IS NOT NULL").select("lang", "word", "n")
     langs = [r[0] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
-    words = words.where(F.col("lang").isin(langs)) if langs else words
-    # a word of at most CACHED_CHARS letters has at most so many n-grams
+    among = F.col("lang").isin(langs) if langs else F.lit(True)
+    words = words.where(among)
+    # the n-grams of longer words are counted above, since a word may be a whole text
     framed = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     spot = F.explode(F.sequence(F.lit(1), F.length(framed)))
-    grams = words.select("lang", "n", framed.alias("w"), spot.alias("at")).select("lang", "n", F.explode(F.array(*[F.substring(F.col("w"), F.col("at"), F.lit(k)) for k in range(1, GRAM + 1)])).alias("g"), "w")
+    grams = words.where(~F.col("word").startswith(LONG)).select("lang", "n", framed.alias("w"), spot.alias("at")).select("lang", "n", F.explode(F.array(*[F.substring(F.col("w"), F.col("at"), F.lit(k)) for k in range(1, GRAM + 1)])).alias("g"))
+    grams = grams.unionByName(counts.where("g IS NOT NULL").where(among).select("lang", "n", "g"))
     grams = grams.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
     def top(table: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
@@ -100,6 +121,7 @@ class Scorer:
         self.floor = np.full(len(self.langs), -20.0)
         self.rows: list[np.ndarray] = []
         self.index: dict[str, int] = {}
+        self.long: list[str] = []
         self.table = np.zeros((0, len(self.langs)))
         self.seen: dict[str, dict[str, int]] = {lang: {} for lang in self.langs}
         for gram, by in model.get("seen", {}).items():
@@ -123,7 +145,7 @@ class Scorer:
         return total / len(w)
 
     def word(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
+        found = self.known.get(named(word))
         return self.backoff(word) if found is None else found
 
     def characters(self, word: str, lang: str) -> float:
@@ -161,12 +183,15 @@ class Scorer:
 
     def judge(self, cut: list[list[str]]) -> tuple[list[str], list[float]]:
         """The language and score of each text, given its words."""
-        if len(self.index) > CACHED:
+        for w in self.long:  # only words of at most CACHED_CHARS letters are remembered
+            del self.index[w]
+        if len(self.rows) > CACHED:
             self.index, self.rows = {}, []
         new = list(set().union(*cut).difference(self.index)) if cut else []
         for w in new:
             self.index[w] = len(self.rows)
             self.rows.append(self.word(w))
+        self.long = [w for w in new if len(w) > CACHED_CHARS]
         if new:
             self.table = np.array(self.rows)
         langs, scores, get = [], [], self.index.__getitem__

@@ -14,3 +14,24 @@ def test_junk_goes_and_clean_documents_stay(spark, sf_dir):
     clean = {x["doc_id"] for x in docs.collect() if x["text"] and langid.WORD(x["text"])}
     assert not stay & {i for i, *_ in junk}
     assert len(stay & clean) >= 0.99 * len(clean)
+
+
+def test_long_runs_teach(spark):
+    r = random.Random(6)
+    texts = {"xa": lambda: "".join(r.choice("abc") for _ in range(3000)), "xb": lambda: "".join(r.choice("mno") for _ in range(70_000))}
+    rows = [(k, texts[lang](), lang) for k, lang in enumerate(["xa", "xb"] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model["langs"] == ["xa", "xb"]
+    for lang in texts:
+        brute = {}
+        for _, t, own in rows:
+            for i in range(len(t) + 2) if own == lang else ():
+                for k in range(1, langid.GRAM + 1):
+                    g = f"^{t}$"[i : i + k]
+                    brute[g] = brute.get(g, 0) + 1
+        assert {g: by[lang] for g, by in model["seen"].items() if lang in by} == brute
+    scorer = langid.Scorer(model)
+    assert scorer.predict([texts["xa"](), texts["xb"](), "abcab", "monom"])[0] == ["xa", "xb", "xa", "xb"]
+    scorer.predict(["abc"])
+    assert all(len(w) <= langid.CACHED_CHARS for w in scorer.index)
