@@ -181,14 +181,15 @@ def payload_of(text: str) -> bytes:
     return data + b"\0" * (max(1, -(-len(data) // WIDTH)) * WIDTH - len(data))
 
 
-def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's payload as an 8-bit grey PNG of 64 columns, in a binary column."""
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, filters: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """(doc_id, n_bytes, media): each text's payload as an 8-bit grey PNG of 64 columns, in a binary column. Each row of it is
+    stored as it is, or as differences to the left or up, by the choice of :func:`encode_png` among ``filters``."""
     shared.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            media = [encode_png(np.frombuffer(payload_of(t), np.uint8).reshape(-1, WIDTH), level=level) for t in texts]
+            media = [encode_png(np.frombuffer(payload_of(t), np.uint8).reshape(-1, WIDTH), filters, level) for t in texts]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
