@@ -27,6 +27,8 @@ from . import minhash, shared
 WIDTH, THRESHOLD, HOT = 5, 0.8, 64
 #: Sets that the order is learned from, and shingles that it knows, at most.
 SAMPLE, OFTEN = 10_000, 50_000
+#: Bits of the map by which a pair can be ruled out before its whole sets are compared.
+BITS = 2048
 Order = tuple[np.ndarray, np.ndarray]
 
 
@@ -82,8 +84,37 @@ def candidates(index: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
     return a.join(b, ["key", "x", "y"]).where((F.col("u") < F.col("v")) & ((F.col("p") != F.col("q")) | (F.col("x") == F.col("y"))) & fits).select("u", "v").distinct()
 
 
+def possible(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """The ``pairs`` that bitmaps of the sets don't rule out, so that few whole sets move. Each bit that one bitmap has and the other
+    lacks is an item at least that only the one has, so no pair at the threshold is ruled out."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = [], []
+            for x in batch.column(1).to_pylist():
+                items, bits = np.frombuffer(x, kind), np.zeros(BITS, bool)
+                bits[items & (BITS - 1)] = True
+                sizes.append(len(items))
+                marks.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], names=["id", "size", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
+            both = np.minimum(m - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            mask = pa.array(both >= threshold * (1 - 1e-12) * (m + n - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+
+    marks = shared.materialize(sets.mapInArrow(mark, "id long, size long, bits binary"), "jaccard-marks")
+    left, right = marks.toDF("u", "m", "x"), marks.toDF("v", "n", "y")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "m", "n", "x", "y").mapInArrow(run, "u long, v long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str = "<i8") -> DataFrame:
     """The (u, v) of ``pairs`` at the threshold; ``sets`` has (id, items), the distinct items as bytes of ``kind``."""
+    near = shared.materialize(possible(pairs, sets, threshold, kind), "jaccard-possible")
+    sets = sets.join(near.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
     left = sets.select(F.col("id").alias("u"), F.col("items").alias("su"))
     right = sets.select(F.col("id").alias("v"), F.col("items").alias("sv"))
 
@@ -97,7 +128,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str = "<
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return near.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

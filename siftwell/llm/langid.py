@@ -31,8 +31,9 @@ from . import shared
 
 FIT_DOCS, WORDS, GRAMS, GRAM, LANGS = 20_000, 20_000, 10_000, 4, 256
 SMOOTHING, CACHED, CACHED_CHARS = 0.5, 300_000, 48
-#: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its floor.
-BACK, UNSEEN, FLOOR_DOCS = -0.9, -20.0, 200
+#: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its
+#: floor; words whose fluency is remembered.
+BACK, UNSEEN, FLOOR_DOCS, FLUENT = -0.9, -20.0, 200, 60_000
 PIECE, LONG = 1 << 15, "#"
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+").findall
@@ -165,7 +166,7 @@ class Scorer:
     def fluency(self, words: list[str], lang: str) -> float:
         """The mean log-likelihood of a character of ``words`` in ``lang``."""
         memo = self.fluent[lang]
-        if len(memo) > CACHED // max(1, len(self.langs)) + 10_000:
+        if len(memo) > FLUENT // len(self.langs) + 1000:
             memo.clear()
         total, n = 0.0, 0
         for word, k in Counter(words).items():
