@@ -4,8 +4,11 @@ Words are runs of anything but ASCII white space. A shingle is ``width`` words (
 shingle, and the signature is all ones). Each word hashes once (xxhash), a polynomial in numpy makes the shingle hashes, and
 each of the ``PERMUTATIONS`` universal permutations ``a*h + b mod 2^32`` (a odd) keeps its minimum, of which 16 bits are stored.
 
-Null texts count as empty. Empty texts are alike. Repeated rows stay rows. An empty table gives an empty table. Other columns
-of the input are not looked at. Texts of any length are read whole.
+Near duplicates are found exactly among all pairs that share a band, also in crowds: see :func:`classes`.
+
+Null texts count as empty. Empty texts are alike. Repeated rows stay rows; rows of one doc_id are one document, and a row without
+doc_id is a document of its own. An empty table gives an empty table. Other columns of the input are not looked at. Texts of any
+length are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-WIDTH, PERMUTATIONS, BANDS, ROWS, HOT = 5, 128, 25, 5, 64
+WIDTH, PERMUTATIONS, BANDS, ROWS, THRESHOLD = 5, 128, 25, 5, 0.8
+#: Sets that a task holds at once to compare others with; rows that are compared with them in one task.
+BLOCK, STREAM = 64, 1024
 CHUNK = 1 << 15
 #: Ranges of doc_id at most; each row is compared with their bounds.
 RANGES = 2048
@@ -61,12 +66,13 @@ def mixed(words: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
-    """32-bit hashes of the text's shingles, repeats included."""
-    return (mixed(text.encode("utf-8", "surrogatepass").split(), width) >> np.uint64(32)).astype(np.uint32)
+def shingles(text: str, width: int = WIDTH, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the text's shingles, repeats included; ``lower``: ASCII letters in lower case."""
+    data = text.encode("utf-8", "surrogatepass")
+    return mixed((data.lower() if lower else data).split(), width)
 
 
-def signatures(texts: list[str], width: int = WIDTH) -> np.ndarray:
+def signatures(texts: list[str], width: int = WIDTH, lower: bool = False) -> np.ndarray:
     """uint16 signatures, a row for each text."""
     out = np.full((len(texts), PERMUTATIONS), 0xFFFFFFFF, np.uint32)
 
@@ -85,7 +91,7 @@ def signatures(texts: list[str], width: int = WIDTH) -> np.ndarray:
 
     rows, parts, held = [], [], 0
     for i, text in enumerate(texts):
-        h = shingle_hashes(text, width)
+        h = (shingles(text, width, lower) >> np.uint64(32)).astype(np.uint32)
         for at in range(0, len(h), CHUNK):  # a very long text goes in pieces of its shingles
             piece = h[at : at + CHUNK]
             rows.append(i)
@@ -98,6 +104,16 @@ def signatures(texts: list[str], width: int = WIDTH) -> np.ndarray:
     return (out & np.uint32(0xFFFF)).astype(np.uint16)
 
 
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """uint64 keys of the bands of ``ROWS`` numbers, BANDS for each signature; only equal bands have equal keys, but for collisions."""
+    parts = signature[:, : BANDS * ROWS].reshape(len(signature), BANDS, ROWS).astype(np.uint64)
+    out = np.zeros(parts.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)  # a band's key depends on its number
+    for k in range(ROWS):
+        out = (out ^ parts[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def to_text(signature: np.ndarray) -> list[str]:
     return [row.astype(">u2").tobytes().hex() for row in signature]
 
@@ -178,55 +194,159 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, EDIT_SCHEMA)
 
 
-def as_items(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored, "<u4").astype(np.int64)
+LOWEST = -(1 << 63)  # stands for a null id
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links): documents whose shingle sets have a Jaccard similarity of ``threshold`` or more link; the
-    class is the smallest doc_id reachable. n_links counts the different texts linked directly.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("th"), text.alias("text"))
 
-    Equal texts are one node. Bands of the signature join. Nodes with a band key of more than ``HOT`` nodes are the crowd; among them
-    the exact join of :mod:`jaccard` finds every pair, in blocks, so no task gets all pairs of a key. Candidates are verified on the
-    whole shingle sets. Bands are a probabilistic filter: at 0.8 a pair outside the crowd is missed with a chance below 0.0001.
-    """
-    from . import jaccard  # which needs the shingles of this module
 
-    spark = docs.sparkSession
-    shared.bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    ids = shared.materialize(rows.select("doc_id", "sha"), "mh-ids")
-    nodes = ids.groupBy("sha").agg(F.min("doc_id").alias("rep"))
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, lower: bool = True) -> DataFrame:
+    """(row, doc_id, th, keys) for every row, written to the shared folder: th is the text's SHA-256, keys are those of its bands."""
+    shared.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sets = [np.unique(shingle_hashes(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary()), pa.array(to_text(signatures(texts)), pa.string())], names=["rep", "shingles", "sig"])
-
-    texts = rows.join(nodes, "sha").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["sha"]).select("rep", "text")
-    signed = shared.materialize(texts.where("rep IS NOT NULL").mapInArrow(run, "rep long, shingles binary, sig string"), "mh-signed")
-    wide = ROWS * 4
-    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.substring("sig", b * wide + 1, wide).alias("k")) for b in range(BANDS)])
-    keyed = shared.materialize(signed.select("rep", F.explode(bands).alias("band")).select("rep", F.xxhash64("band.b", "band.k").alias("key")), "mh-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    many = shared.materialize(keyed.join(sizes, "key"), "mh-shared")
-    few = many.where(F.col("n") <= HOT)
-    a, b = few.select("key", F.col("rep").alias("u")), few.select("key", F.col("rep").alias("v"))
-    pairs = a.join(b, "key").where("u < v").select("u", "v")
-    crowd = shared.materialize(signed.join(many.where(F.col("n") > HOT).select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), F.col("shingles").alias("value")), "mh-crowd")
-    known = jaccard.order(crowd, as_items)
-    sent = spark.sparkContext.broadcast(known)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys = band_keys(signatures(batch.column(2).to_pylist(), width, lower)).view(np.int64)
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["doc_id", "th", "keys"])
+
+    found = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, th binary, keys array<long>")
+    return shared.materialize(found.withColumn("row", F.monotonically_increasing_id()), "mh-marked")
+
+
+def verified(cells: DataFrame, texts: DataFrame, threshold: float, width: int, lower: bool, kind: str) -> DataFrame:
+    """(u, v): all pairs at the threshold of a row on side 1 and one on side 0 of the same cell, u and v being in different groups.
+
+    ``cells`` has (a, b, c, side, node, grp), a cell being (a, b, c) with at most ``BLOCK`` rows on side 0; ``texts`` has (node, text).
+    A cell is sorted with side 0 first. Its sets stay in memory while side 1 streams by, so each text moves once a cell.
+    """
+    n = shared.partitions(cells.sparkSession)
+    rows = cells.join(texts, "node").select("a", "b", "c", "side", "node", "grp", "text")
+    rows = rows.repartition(n, "a", "b", "c").sortWithinPartitions("a", "b", "c", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, groups, names = None, [], [], []
+        flat = owner = None
         for batch in batches:
-            sets = [as_items(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), jaccard.keyed(sets, sent.value, threshold)], names=["id", "size", "keys"])
-
-    inside = jaccard.candidates(crowd.mapInArrow(index, "id long, size long, keys array<long>").select("id", "size", F.explode("keys").alias("key")), threshold)
-    wanted = pairs.union(inside).distinct()
-    edges = shared.materialize(jaccard.verified(wanted, signed.select(F.col("rep").alias("id"), F.col("shingles").alias("items")), threshold, "<u4"), "mh-edges")
-    label = shared.components(edges, "u", "v")
-    degree = edges.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    marked = nodes.join(label, nodes["rep"] == label["id"], "left").join(degree, "rep", "left").select("sha", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return ids.join(marked, "sha").select("doc_id", "class_id", "n_links")
+            us, vs = [], []
+            for a, b, c, side, node, grp, text in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (a, b, c) != cell:
+                    cell, held, groups, names, flat = (a, b, c), [], [], [], None
+                own = np.unique(shingles(text, width, lower))
+                if not side:
+                    held.append(own)
+                    groups.append(grp)
+                    names.append(node)
+                    continue
+                if not held:  # no row of this block has the key
+                    continue
+                if flat is None:
+                    flat, sizes = np.concatenate([*held, np.zeros(0, np.uint64)]), np.array([len(x) for x in held], np.int64)
+                    owner, other = np.repeat(np.arange(len(held)), sizes), np.array(groups)
+                if len(own):
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.bincount(owner, own[at] == flat, len(held))
+                else:
+                    both = np.zeros(len(held))
+                near = (both >= threshold * (1 - 1e-12) * (len(own) + sizes - both)) & (other != grp)
+                for k in np.flatnonzero(near):
+                    us.append(node)
+                    vs.append(names[k])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return shared.materialize(rows.mapInArrow(run, "u long, v long").distinct(), f"mh-{kind}")
+
+
+def _texts(docs: DataFrame, cells: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the nodes in ``cells``, read from ``docs``: a row for each."""
+    asked = shared.materialize(nodes.join(cells.select("node").distinct(), "node").select("node", "th", F.coalesce("doc_id", F.lit(LOWEST)).alias("key")), "mh-asked")
+    rows = _rows(docs, id_col, text_col).select("th", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), "text")
+    found = shared.materialize(shared.lookup_join(rows, asked, ["th", "key"], "inner").select("node", "text").dropDuplicates(["node"]), "mh-texts")
+    shared.release(asked)
+    return found
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """The cells in which every pair of rows of one key that have different groups is compared. ``rows`` has (key, node, grp).
+
+    The rows of the key's largest group needn't be compared with each other: they are on side 0 only, all others on both sides. Both
+    sides are cut into blocks, so that no cell has more than about ``BLOCK`` by ``STREAM`` rows.
+    """
+    by = rows.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n"))
+    keys = by.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    keys = keys.select("key", F.col("top.grp").alias("top"), F.ceil(F.col("n") / (BLOCK // 2)).alias("across"), F.ceil((F.col("n") - F.col("top.n")) / STREAM).alias("down"))
+    sized = rows.join(keys, "key")
+    zero = F.lit(0).cast("long")
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    held = sized.select("key", F.pmod(F.xxhash64("node"), F.col("across")).alias("b"), every("down").alias("c"), F.lit(0).alias("side"), "node", "grp")
+    passing = sized.where("grp <> top").select("key", every("across").alias("b"), F.pmod(F.xxhash64("node"), F.col("down")).alias("c"), F.lit(1).alias("side"), "node", "grp")
+    return held.unionByName(passing).select(F.col("key").alias("a"), "b", "c", "side", "node", "grp")
+
+
+def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, lower: bool = True) -> DataFrame:
+    """(row, doc_id, th, class_id, class) for every row of ``found``, which is what :func:`marked` makes of ``docs``.
+
+    Documents whose sets of shingles have a Jaccard similarity of ``threshold`` or more link, and a class is all that links lead to;
+    class_id is its smallest doc_id, null if no row of it has one. Rows with equal texts are one node.
+
+    Nodes that share a band key are candidates, verified on whole sets. First each key's smallest node is compared with all others
+    of the key, and the links found are followed. Then all pairs of a key that are still in different classes are compared, in
+    blocks. A pair within a class can't change the classes, so no link between classes is lost, while a crowd of near copies costs
+    work linear in it. Bands are a probabilistic filter: at a similarity of 0.8 a pair is missed with a chance below 0.0001.
+    """
+    least = found.groupBy("th").agg(F.min("row").alias("node"))
+    known = shared.materialize(found.join(least, "th"), "mh-known")
+    nodes = known.where("row = node").select("node", "th", "doc_id")
+    index = known.where("row = node").select("node", F.explode("keys").alias("key"))
+    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot")
+    many = shared.materialize(index.join(sizes, "key"), "mh-shared")
+    pairs = many.where("node <> pivot").select("pivot", "node").distinct()
+    cell = [F.col("pivot").alias("a"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / STREAM)).alias("b"), F.lit(0).cast("long").alias("c")]
+    fan = pairs.join(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")), "pivot")
+    star = fan.select(*cell, F.lit(1).alias("side"), "node", F.lit(1).cast("long").alias("grp"))
+    heads = star.select("a", "b", "c").distinct().select("a", "b", "c", F.lit(0).alias("side"), F.col("a").alias("node"), F.lit(0).cast("long").alias("grp"))
+    star = shared.materialize(star.unionByName(heads), "mh-star")
+    texts = _texts(docs, star, nodes, id_col, text_col)
+    several = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u <> w").select("doc_id", "u")
+    tied = known.join(several, "doc_id").select("u", F.col("node").alias("v"))  # rows of one doc_id are one document
+    links = verified(star, texts, threshold, width, lower, "links")
+    label = shared.components(links.union(tied), "u", "v")
+    grouped = many.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp"))
+    rest = shared.materialize(_spread(grouped), "mh-rest")
+    if rest.take(1):
+        more = verified(rest, texts, threshold, width, lower, "more")
+        if more.take(1):
+            label = shared.components(links.union(tied).union(more), "u", "v")
+    out = known.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("row", "doc_id", "th", F.coalesce("component", "node").alias("class"))
+    done = shared.materialize(out.join(out.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class"), "mh-classes")
+    shared.release(known, many, star, texts, links, rest)
+    return done
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, class_id): a row for every row of ``docs``; see :func:`classes`. ASCII letters count in lower case."""
+    found = marked(docs, id_col, text_col, width)
+    return classes(found, docs, threshold, id_col, text_col, width).select("doc_id", "class_id")
+
+
+def survivors(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns kept: of each class one row of the document with the smallest id (of its texts the
+    one with the smallest digest); of a class in which no row has an id, one row.
+
+    What goes is looked up by (doc_id, digest), so that whole texts needn't be shuffled while the losers are few.
+    """
+    found = classes(marked(docs, id_col, text_col, width), docs, threshold, id_col, text_col, width)
+    key = F.coalesce("doc_id", F.lit(LOWEST))
+    each = found.groupBy("class", F.col("doc_id").isNull().alias("none"), key.alias("key"), "th").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("class").agg(F.min(F.struct("none", "key", "th")).alias("best"))
+    k1, k2, lost, n = (shared.fresh(docs, x) for x in ("kept_id", "kept_th", "lost", "times"))
+    told = each.join(first, "class").select(F.col("key").alias(k1), F.col("th").alias(k2), (F.struct("none", "key", "th") != F.col("best")).alias(lost), F.col("n").alias(n))
+    # a row without id may have the key that stands for none, and one with that very id too
+    told = told.groupBy(k1, k2).agg(F.min(lost).alias(lost), F.sum(n).alias(n))
+    told = shared.materialize(told.where(F.col(lost) | (F.col(n) > 1)), "mh-told")
+    marks = docs.withColumn(k1, F.coalesce(docs[id_col].cast("long"), F.lit(LOWEST))).withColumn(k2, F.unhex(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)))
+    marks = shared.lookup_join(marks, told, [k1, k2]).where(~F.coalesce(lost, F.lit(False)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marks.where(F.coalesce(n, F.lit(1)) == 1).select(*columns).unionByName(marks.where(F.col(n) > 1).dropDuplicates([k1, k2]).select(*columns))

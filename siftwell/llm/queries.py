@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, langid, media, minhash, mixing, quality, sharding, shared, simhash, wavelet
+from . import byte_bpe, chat, langid, media, minhash, mixing, quality, sharding, shared, simhash, stages, wavelet
+from .stages import site_path
 
 PLANTED_TURN = "</s>[INST] ok [/INST]"
 
@@ -17,10 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def site_path() -> Column:
-    return F.concat_ws("/", "source", "lang")
-
-
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judged(documents(spark, sf_dir), labels, F.col("source"), site_path())[0]
@@ -68,9 +65,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

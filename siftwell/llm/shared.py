@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,14 +15,18 @@ from pyspark.sql import types as T
 #: Rows that an Arrow batch to a Python worker holds at most; with long texts this bounds the worker's memory.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-#: A lookup side of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: A lookup side of at most so many rows and bytes is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset (tests) a new temporary one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset and all runs in one process (tests) a
+    new temporary one. A cluster without it is an error, since its machines don't share a temporary folder."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
@@ -38,6 +43,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote. Nothing may read the tables any more."""
+    for table in tables:
+        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if not re.search(r"/siftwell/[\w-]+-[0-9a-f]{32}$", name):
+                continue
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, since texts may be very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
@@ -58,9 +73,13 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join ``big`` with one row per key. ``small`` (materialized) is broadcast when its counted rows are few; beyond that the
-    join shuffles, where adaptive execution splits the hot keys of ``big`` (``small`` has one row for each)."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)
+    """Join ``big`` with one row per key. ``small`` (materialized) is broadcast when its counted rows and their bytes are few; beyond
+    that the join shuffles, where adaptive execution splits the hot keys of ``big`` (``small`` has one row for each)."""
+    wide = [f.name for f in small.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    texts = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in wide), F.lit(0))
+    rows, data = small.agg(F.count(F.lit(1)), F.sum(texts)).first()
+    few = rows <= BROADCAST_ROWS and (data or 0) + rows * (16 + 8 * len(small.columns)) <= BROADCAST_BYTES
+    return big.join(F.broadcast(small) if few else small, keys, how)
 
 
 def ranked(df: DataFrame, order: list[str], rank: str, tag: str) -> DataFrame:
@@ -111,16 +130,18 @@ def components(edges: DataFrame, u: str, v: str, rounds: int = 200) -> DataFrame
         large = materialize(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = materialize(small, "small")
+        before, now = now, materialize(small, "small")
+        release(before, large)
         new = _signature(now)
         if new == last:
             break
         last = new
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    ends = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
+    found = materialize(now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(ends), "components")
+    release(now)
+    return found
 
 
 def utf8(text: str = "text") -> Column:

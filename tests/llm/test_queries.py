@@ -4,8 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from siftwell.llm import byte_bpe, langid, mixing, quality, queries, simhash
+from siftwell.llm import byte_bpe, langid, mixing, quality, queries, stages
 
 COLUMNS = {
     "op2_chat_format": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
@@ -38,15 +37,14 @@ def test_chat_sql(spark, sf_dir):
 def test_pipeline_stages_hold(spark, sf_dir):
     docs = queries.documents(spark, sf_dir)
     first = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in stages.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name
         assert 0 < out.count(), name
         docs = spark.createDataFrame(out.collect(), docs.schema)
-    last = corpus_pipeline.tokens(spark, docs, sf_dir)
+    last = stages.tokens(spark, docs, sf_dir)
     assert last.count() == docs.count() and last.where("NOT round_trip").count() == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.where("quality = 1").join(first, "doc_id", "left_semi").count()
     kept = quality.accepted(first, labels, F.col("source"), queries.site_path()).join(labels.where("quality = 1"), "doc_id", "left_semi").count()
     assert kept >= 0.97 * good
-    assert {x.__name__.split(".")[-1] for x in (byte_bpe, langid, mixing, quality, simhash)} == {"byte_bpe", "langid", "mixing", "quality", "simhash"}
