@@ -20,7 +20,21 @@ def literal_regex(text: str) -> str:
     return re.sub(r"[\\^$.*+?()\[\]{}|/-]", lambda m: "\\" + m[0], text)
 
 
-def java_regex(source: str, flags: str = "") -> str:
+def may_be_empty(source: str) -> bool:
+    """Whether the pattern could match without taking a character: by its least width, and if that can't be told."""
+    try:
+        return re._parser.parse(source.replace("[^]", r"[\s\S]").replace("[]", "(?!)")).getwidth()[0] == 0
+    except (re.error, OverflowError, RecursionError):
+        return True
+
+
+def python_regex(source: str, flags: str = "") -> str:
+    """The same pattern for Python's engine."""
+    out = re.sub(r"(\\*)\\([wWz])", lambda m: m[0] if len(m[1]) % 2 else m[1] + {"w": "[A-Za-z0-9_]", "W": "[^A-Za-z0-9_]", "z": r"\Z"}[m[2]], java_regex(source, flags, in_class_words=True))
+    return out.replace("(?iu", "(?i", 1) if out.startswith("(?iu") else out
+
+
+def java_regex(source: str, flags: str = "", in_class_words: bool = False) -> str:
     """A pattern that matches in Java what ``source`` matches in a script engine without its unicode mode: ASCII word edges,
     wide white space, an end anchor that ignores a last line end, case folding beyond ASCII."""
     if set(flags) - set("gimsu"):
@@ -36,6 +50,8 @@ def java_regex(source: str, flags: str = "") -> str:
                 out.append(SPACE if in_class else f"[{SPACE}]")
             elif pair == r"\S" and not in_class:
                 out.append(f"[^{SPACE}]")
+            elif pair == r"\w" and in_class and in_class_words:
+                out.append("A-Za-z0-9_")
             elif pair == r"\d":
                 out.append("0-9" if in_class else "[0-9]")
             else:

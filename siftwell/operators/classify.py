@@ -57,6 +57,13 @@ def preflight(count: int, limit: int = CALL_LIMIT) -> str:
     return "approval_required" if count > limit else "ok"
 
 
+def preflight_status(count: Column, limit: int = CALL_LIMIT) -> Column:
+    """:func:`preflight` for a column of counts."""
+    if limit < 1:
+        raise ContractError("count and limit are positive")
+    return F.when(count > limit, "approval_required").otherwise("ok")
+
+
 def validate(items: DataFrame) -> int:
     """Fail closed on null, blank or repeated ids and null texts; the number of items."""
     n, ids, bad = items.agg(F.count(F.lit(1)), F.count_distinct("id"), F.count_if(F.col("id").isNull() | (F.trim(F.col("id").cast("string")) == "") | F.col("text").isNull())).first()
@@ -69,12 +76,17 @@ def tokens_of(text: Column, overhead: int = 0) -> Column:
     return F.ceil((F.length(text) + overhead) / 4)
 
 
+def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is computed once a row: being generated, it isn't copied into what uses it."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def screen(items: DataFrame, scorer: Scorer, limits: Thresholds, *, confirm: bool = True, count: int | None = None, call_limit: int = CALL_LIMIT, context_window: int | None = None, fraction: float = 0.85, overhead: int = 0) -> DataFrame:
     """(ord, id, bucket, probability, reason) for (ord, id, text). ``count`` is the number of items, for the guard."""
     if not confirm and preflight(items.count() if count is None else count, call_limit) != "ok":
         return items.select("ord", "id", F.lit("withheld").alias("bucket"), F.lit(None).cast("double").alias("probability"), F.lit("approval_required").alias("reason"))
     large = tokens_of(F.col("text"), overhead) > max(1, int(context_window * fraction)) if context_window else F.lit(False)
-    scored = items.select("ord", "id", large.alias("large"), F.when(~large, scorer(F.col("id"), F.col("text"))).alias("a"))
+    scored = once(items.select("ord", "id", "text", large.alias("large")), F.when(~F.col("large"), scorer(F.col("id"), F.col("text"))), "a")
     p, stop = F.col("a.probability"), F.col("a.stop_reason")
     valid = (F.col("a.answer_type") == "bool") & p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p <= 1)
     reason = (
@@ -166,11 +178,12 @@ def cache_write(cache: DataFrame, fresh: DataFrame, most: int = 50_000) -> DataF
     return best.orderBy(F.desc("last_access"), "contract_fp", "candidate_fp").limit(most)
 
 
-def usage_rollup(calls: DataFrame, required: tuple[str, ...], optional: tuple[str, ...] = ()) -> DataFrame:
-    """Field-wise sums over calls that report usage; complete if all do; optional fields only if any call has them."""
+def usage_rollup(calls: DataFrame, required: tuple[str, ...], optional: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """Field-wise sums over calls that report usage, in groups of ``by``; complete if all do; an optional field is null where no call
+    has it."""
     reported = F.col(required[0]).isNotNull()
     n, m = F.count(F.lit(1)), F.count_if(reported)
-    return calls.agg(n.alias("calls"), m.alias("usage_reported_calls"), (n == m).alias("complete"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in required], *[F.sum(c).alias(c) for c in optional])
+    return calls.groupBy(*by).agg(n.alias("calls"), m.alias("usage_reported_calls"), (n == m).alias("complete"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in required], *[F.sum(c).alias(c) for c in optional])
 
 
 def first_per(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

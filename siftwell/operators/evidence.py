@@ -14,12 +14,21 @@ def json_string(text: Column) -> Column:
     return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
-def bodies(found: DataFrame, source: contracts.Source, detail: str = "standard") -> DataFrame:
-    """Candidates with ``evidence``."""
-    window = source.expanded if detail == "expanded" else source.standard
+def window_of(source: contracts.Source, detail: str) -> contracts.Window:
+    return source.expanded if detail == "expanded" else source.standard
+
+
+def bodies(found: DataFrame, detail: str = "standard") -> DataFrame:
+    """Candidates with ``evidence``; ``found`` has the detail's line window as ``_window``."""
     place = F.concat_ws(":", "source", F.col("line").cast("string"), F.col("column").cast("string"))
-    body = F.concat_ws("\n", F.lit("provider=generic-source"), F.lit(f"detail={detail}"), F.concat(F.lit("pattern="), "pattern_label"), F.concat(F.lit("location="), place), F.concat(F.lit("matched="), json_string(F.col("match_text"))), line_window(F.col("lines"), F.col("line"), window))
-    return found.withColumn("evidence", body)
+    body = F.concat_ws("\n", F.lit("provider=generic-source"), F.lit(f"detail={detail}"), F.concat(F.lit("pattern="), "pattern_label"), F.concat(F.lit("location="), place), F.concat(F.lit("matched="), json_string(F.col("match_text"))), "_window")
+    return found.withColumn("evidence", body).drop("_window")
+
+
+def with_windows(found: DataFrame, files: DataFrame, window: contracts.Window) -> DataFrame:
+    """``found``, a few candidates, with the ``_window`` of their files (source, text), read again."""
+    lines = files.join(F.broadcast(found.select("source").distinct()), "source", "left_semi").select("source", F.split(F.coalesce("text", F.lit("")), "\r?\n", -1).alias("_lines"))
+    return found.join(lines, "source").withColumn("_window", line_window(F.col("_lines"), F.col("line"), window)).drop("_lines")
 
 
 def packed(items: DataFrame, budget: contracts.Budget, key: str | None = None, order: str = "ord", clip_first: bool = False, size: Column | None = None, most: int | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ _DOCS_RED = _redaction_ctes("SELECT doc_id AS key, coalesce(text, '') AS text FR
 
 
 def _redacted(items: DataFrame) -> DataFrame:
-    return items.withColumn("r", redaction.redact(F.col("text"))).select("ord", "id", F.col("r.text").alias("text"), F.col("r.count").alias("n"))
+    return redaction.redacted(items.select("ord", "id", "text"), count="n")
 
 
 @query(f"WITH {_DOCS_RED} SELECT key AS doc_id, md5(text) AS text_md5, CAST(n AS BIGINT) AS n FROM red")
@@ -77,7 +77,7 @@ def redact_text(spark, sf_dir):
 )
 def redact_counts(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("role", "text").unionByName(_table(spark, sf_dir, "documents").select(F.lit("document").alias("role"), "text"))
-    rows = rows.withColumn("n", redaction.redact(F.coalesce("text", F.lit("")))["count"])
+    rows = redaction.redacted(rows.select("role", F.coalesce("text", F.lit("")).alias("text")), count="n")
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("n") > 0).alias("redacted_items"), F.sum("n").alias("redaction_count"))
 
 
@@ -169,7 +169,7 @@ def guard_approval(spark, sf_dir):
 @query("SELECT source, count(*) AS n, CASE WHEN count(*) > 45 THEN 'approval_required' ELSE 'ok' END AS status FROM documents GROUP BY source")
 def preflight(spark, sf_dir):
     n = _table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("source", "n", F.when(F.col("n") > 45, "approval_required").otherwise("ok").alias("status"))
+    return n.select("source", "n", classify.preflight_status(F.col("n"), 45).alias("status"))
 
 
 @query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'repeated' END AS issue FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
@@ -182,8 +182,7 @@ def accounting_partition(spark, sf_dir):
 @query("SELECT lang, count(*) AS calls, CAST(count(*) FILTER (doc_id % 9 <> 0) AS BIGINT) AS usage_reported_calls, count(*) = count(*) FILTER (doc_id % 9 <> 0) AS complete, CAST(coalesce(sum(n_chars) FILTER (doc_id % 9 <> 0), 0) AS BIGINT) AS input FROM documents GROUP BY lang")
 def usage_rollup(spark, sf_dir):
     calls = _table(spark, sf_dir, "documents").select("lang", F.when(F.col("doc_id") % 9 != 0, F.col("n_chars")).alias("input"))
-    n, m = F.count(F.lit(1)), F.count("input")
-    return calls.groupBy("lang").agg(n.alias("calls"), m.alias("usage_reported_calls"), (n == m).alias("complete"), F.coalesce(F.sum("input"), F.lit(0)).alias("input"))
+    return classify.usage_rollup(calls, ("input",), by=("lang",))
 
 
 @query(_SCORED + "SELECT id, bucket, CAST(CASE bucket WHEN 'kept' THEN 0 ELSE 1 END AS INTEGER) AS bucket_rank FROM out WHERE bucket <> 'dropped'")
@@ -298,10 +297,15 @@ def skip_dirs(spark, sf_dir):
     return _files(spark, sf_dir).where(discovery.included(F.col("source"), ("**",), (), ("src2", "src5"))).select("doc_id", "source")
 
 
+def _wide_sql(text: str) -> str:
+    """The UTF-16 code units of a text: its characters, and one more for each beyond the basic plane."""
+    return f"(length({text}) + len(regexp_extract_all({text}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
 def _matches_sql(where: str, pattern_id: str, regex: str) -> str:
     """(source, pattern_id, off, match_text, line, column) by prefix sums of gaps and matches."""
-    return f"""SELECT source, '{pattern_id}' AS pattern_id, off, match_text,
-CAST(length(left(text, off)) - length(replace(left(text, off), chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(list_last(string_split(left(text, off), chr(10)))) + 1 AS INTEGER) AS "column" FROM (
+    return f"""SELECT source, '{pattern_id}' AS pattern_id, CAST({_wide_sql('left(text, off)')} AS INTEGER) AS off, match_text,
+CAST(length(left(text, off)) - length(replace(left(text, off), chr(10), '')) + 1 AS INTEGER) AS line, CAST({_wide_sql('list_last(string_split(left(text, off), chr(10)))')} + 1 AS INTEGER) AS "column" FROM (
 SELECT source, text, m[i] AS match_text, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS off FROM (
 SELECT source, text, m, g, unnest(generate_series(1, len(m))) AS i FROM (
 SELECT source, text, regexp_extract_all(text, '{regex}') AS m, string_split_regex(text, '{regex}') AS g FROM v WHERE {where} AND regexp_matches(text, '{regex}'))))"""
@@ -316,12 +320,13 @@ def _places(found):
 
 @query(f"WITH {_V} " + _matches_sql(_GLOBS + " AND NOT list_has_any(string_split(source, '/')[1:-2], ['.git', 'src2'])", "find-1", _R1))
 def discover_literal(spark, sf_dir):
-    return _places(discovery.candidates(_files(spark, sf_dir), FIND))
+    files = _files(spark, sf_dir)
+    return _places(discovery.located(files.where(discovery.included(F.col("source"), FIND.include, FIND.exclude, FIND.skip_dirs)), FIND.patterns))
 
 
 @query(f"WITH {_V} " + _matches_sql("true", "match-1", _R2))
 def discover_regex(spark, sf_dir):
-    return _places(discovery.candidates(_files(spark, sf_dir), MATCH))
+    return _places(discovery.located(_files(spark, sf_dir), MATCH.patterns))
 
 
 _MULTI_SQL = f"WITH {_V}, found AS (" + " UNION ALL ".join([_matches_sql("true", "find-1", _R1), _matches_sql("true", "match-1", _R2), _matches_sql("true", "match-2", _R3)]) + ") "
@@ -329,12 +334,12 @@ _MULTI_SQL = f"WITH {_V}, found AS (" + " UNION ALL ".join([_matches_sql("true",
 
 @query(_MULTI_SQL + "SELECT * FROM found")
 def discover_multi_pattern(spark, sf_dir):
-    return _places(discovery.candidates(_files(spark, sf_dir), MULTI))
+    return _places(discovery.located(_files(spark, sf_dir), MULTI.patterns))
 
 
 @query(_MULTI_SQL + "SELECT pattern_id, count(*) AS n FROM found GROUP BY pattern_id")
 def discover_count(spark, sf_dir):
-    return discovery.candidates(_files(spark, sf_dir), MULTI).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    return discovery.counts(_files(spark, sf_dir), MULTI.patterns)
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<script')) AS n FROM pages WHERE regexp_matches(html, '(?i)<script')")
@@ -344,9 +349,30 @@ def discover_pages(spark, sf_dir):
     return found.groupBy(F.col("source").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+AHEAD, RUNS = Pattern("match-3", "ahead", "(?=License)"), Pattern("match-4", "runs", "!*")
 
 
-@query()
+@query(f"WITH {_V}, found AS ({_matches_sql('true', 'match-3', _R1)}) SELECT source, pattern_id, off, '' AS match_text, line, \"column\" FROM found")
+def discover_zero_width(spark, sf_dir):
+    return _places(discovery.located(_files(spark, sf_dir), (AHEAD,)))
+
+
+@query(f"WITH {_V} SELECT 'match-4' AS pattern_id, CAST(sum(length(replace(text, '!', '')) + 1 + len(regexp_extract_all(text, '!+'))) AS BIGINT) AS n FROM v")
+def discover_zero_width_count(spark, sf_dir):
+    return discovery.counts(_files(spark, sf_dir), (RUNS,))
+
+
+def _units_sql(text: str) -> str:
+    """The UTF-16 code units of a text as a list."""
+    return f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::UBIGINT] ELSE [(55296 + (unicode(c) - 65536) // 1024)::UBIGINT, (56320 + (unicode(c) - 65536) % 1024)::UBIGINT] END))"
+
+
+def _hash_sql(text: str) -> str:
+    lane = lambda seed, factor: f"lpad(lower(to_hex(list_reduce(list_prepend({seed}::UBIGINT, {_units_sql(text)}), lambda a, c: (xor(a, c)::HUGEINT * {factor} % 4294967296)::UBIGINT))), 8, '0')"
+    return f"left({lane(0x811C9DC5, 0x01000193)} || {lane(0x9E3779B9, 0x85EBCA6B)}, 12)"
+
+
+@query(f"WITH {_V}, found AS ({_matches_sql('true', 'match-1', _R2)}) SELECT 'gs:match-1:' || source || ':' || line || ':' || \"column\" || ':' || {_hash_sql("'match-1' || chr(0) || match_text")} AS id, source, line, \"column\" FROM found")
 def candidate_id_hash(spark, sf_dir):
     return discovery.candidates(_files(spark, sf_dir), MATCH).select("id", "source", "line", "column")
 
@@ -361,8 +387,8 @@ _MATCH_SQL = f"WITH {_V}, found AS ({_matches_sql('true', 'match-1', _R2)}), f A
 
 @query(_MATCH_SQL + f"SELECT source, off, md5({_window_sql(MATCH.snippet)}) AS window_md5 FROM f")
 def candidate_window(spark, sf_dir):
-    found = discovery.candidates(_files(spark, sf_dir), MATCH)
-    return found.select("source", "off", F.md5(discovery.line_window(F.col("lines"), F.col("line"), MATCH.snippet).cast("binary")).alias("window_md5"))
+    found = discovery.located(_files(spark, sf_dir), MATCH.patterns, {"shown": MATCH.snippet})
+    return found.select("source", "off", F.md5(F.col("shown").cast("binary")).alias("window_md5"))
 
 
 def _evidence_sql(detail: str, window: contracts.Window) -> str:
@@ -370,7 +396,8 @@ def _evidence_sql(detail: str, window: contracts.Window) -> str:
 
 
 def _evidence(spark, sf_dir, detail):
-    return evidence.bodies(discovery.candidates(_files(spark, sf_dir), MATCH), MATCH, detail).select("source", "off", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"))
+    found = discovery.candidates(_files(spark, sf_dir), MATCH, windows={"_window": evidence.window_of(MATCH, detail)})
+    return evidence.bodies(found, detail).select("source", "off", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"))
 
 
 @query(_evidence_sql("standard", MATCH.standard))
@@ -386,11 +413,11 @@ def evidence_expanded(spark, sf_dir):
 # -- packets: each source's documents are one request
 
 PACK = contracts.Budget(max_items=20, max_sources=2, max_chars=20_000, max_tokens=3000, target_items=20)
-_PACK_IN = "i AS (SELECT source AS packet, doc_id AS ord, doc_id::VARCHAR AS id, lang AS source, left(coalesce(text, ''), 1500) AS evidence FROM documents), j AS (SELECT *, row_number() OVER (PARTITION BY packet ORDER BY ord) AS n, CASE WHEN row_number() OVER (PARTITION BY packet, source ORDER BY ord) = 1 THEN 1 ELSE 0 END AS new FROM i), k AS (SELECT *, sum(new) OVER w AS s, sum(length(evidence)) OVER w AS c, sum(length(to_json({'id': id, 'source': source, 'evidence': evidence})::VARCHAR) + 1) OVER w AS t FROM j WINDOW w AS (PARTITION BY packet ORDER BY ord ROWS UNBOUNDED PRECEDING))"
+_PACK_IN = "i AS (SELECT source AS packet, doc_id AS ord, doc_id::VARCHAR AS id, lang AS source, coalesce(text, '') AS evidence FROM documents), j AS (SELECT *, row_number() OVER (PARTITION BY packet ORDER BY ord) AS n, CASE WHEN row_number() OVER (PARTITION BY packet, source ORDER BY ord) = 1 THEN 1 ELSE 0 END AS new FROM i), k AS (SELECT *, sum(new) OVER w AS s, sum(length(evidence)) OVER w AS c, sum(length(to_json({'id': id, 'source': source, 'evidence': evidence})::VARCHAR) + 1) OVER w AS t FROM j WINDOW w AS (PARTITION BY packet ORDER BY ord ROWS UNBOUNDED PRECEDING))"
 
 
 def _pack_in(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(F.col("source").alias("packet"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source"), F.substring(F.coalesce("text", F.lit("")), 1, 1500).alias("evidence"))
+    return _table(spark, sf_dir, "documents").select(F.col("source").alias("packet"), F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source"), F.coalesce("text", F.lit("")).alias("evidence"))
 
 
 @query(f"WITH {_PACK_IN} SELECT packet, id FROM k WHERE n <= 20 AND s <= 2 AND c <= 20000")

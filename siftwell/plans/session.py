@@ -80,7 +80,7 @@ class Session:
     def _screen(self, items: DataFrame, stage: contracts.Stage, confirm: bool, rescreen: bool) -> DataFrame:
         """Redact, look up, score what is missed, remember."""
         classify.validate(items)
-        red = items.withColumn("_r", redaction.redact(F.col("text"))).select("ord", "id", F.col("_r.text").alias("text"))
+        red = redaction.redacted(items.select("ord", "id", "text")).drop("redactions")
         contract = "|".join([stage.question, stage.yes, stage.no, repr(stage.thresholds)])
         cache = self.cache.limit(0) if rescreen else self.cache
         misses = classify.cache_split(classify.fingerprints(red, contract), cache).where("cached_bucket IS NULL").count()

@@ -69,9 +69,54 @@ def test_offsets_and_zero_width(spark):
     source = C.Source(("**",), patterns=(C.Pattern("m", "m", "ab"),))
     got = sorted((r["off"], r["line"], r["column"]) for r in discovery.candidates(files, source).collect())
     assert got == [(0, 1, 1), (5, 2, 2), (12, 3, 2)]
-    assert [r["off"] for r in discovery.empty_matches(files.withColumn("text", F.lit("bxa")), C.Pattern("z", "z", "x*")).orderBy("off").collect()] == [0, 1, 2, 3]
-    hashes = spark.createDataFrame([("catch-clause\0catch (e) {",), ("find-1\0token",), ("é\0x",)], "t string").select(discovery.short_hash(F.col("t")).alias("h")).collect()
-    assert [r["h"] for r in hashes] == ["0f98b96ebdd1", "60248c017787", "1ad0739c188d"]
+    zero = discovery.located(files.withColumn("text", F.lit("bxa")), (C.Pattern("z", "z", "x*"), C.Pattern("y", "y", r"\b|(?=a)"))).collect()
+    assert sorted((r["pattern_id"], r["off"], r["match_text"]) for r in zero) == [("y", 0, ""), ("y", 2, ""), ("y", 3, ""), ("z", 0, ""), ("z", 1, "x"), ("z", 2, ""), ("z", 3, "")]
+    hashes = spark.createDataFrame([("catch-clause\0catch (e) {",), ("find-1\0token",), ("é\0x",), ("find-1\0🙂",), ("",)], "t string").select(discovery.short_hash(F.col("t")).alias("h")).collect()
+    assert [r["h"] for r in hashes] == ["0f98b96ebdd1", "60248c017787", "1ad0739c188d", "2edecbfb7ac6", "811c9dc59e37"]
+
+
+def brute_matches(text, pattern):
+    """Places in UTF-16 code units, counted one by one."""
+    wide = lambda x: len(x.encode("utf-16-le")) // 2
+    return [(wide(text[: m.start()]), text.count("\n", 0, m.start()) + 1, wide(text[: m.start()].rsplit("\n", 1)[-1]) + 1, m[0]) for m in re.finditer(pattern, text)]
+
+
+def test_places_count_code_units(spark):
+    r = random.Random(5)
+    texts = ["🙂 ab", "🙂\r\n🙂🙂ab ab\rab\n", "", "ab", "\n\nab", "étoken=ab🙂ab"] + ["".join(r.choice(["ab", "🙂", "x", "\n", "é", "\r\n", " "]) for _ in range(r.choice((3, 40, 3000)))) for _ in range(30)]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)] + [("null", None)], "source string, text string")
+    for pattern in ("ab", "a|b|🙂", "[^x]", "x*(?=a)", "(?=b)"):
+        got = {}
+        for x in discovery.located(files, (C.Pattern("p", "p", pattern),)).collect():
+            got.setdefault(x["source"], []).append((x["off"], x["line"], x["column"], x["match_text"]))
+        for i, t in enumerate(texts):
+            assert sorted(got.get(f"f{i}", [])) == sorted(brute_matches(t, pattern)), (pattern, t[:40])
+        assert {x["n"] for x in discovery.counts(files, (C.Pattern("p", "p", pattern),)).collect()} == {sum(len(brute_matches(t or "", pattern)) for t in [*texts, None])}
+    assert got["f0"] == [(4, 1, 5, "")]
+
+
+def test_windows_cut_at_code_units(spark):
+    text = "\n".join(["🙂" * 30] * 4) + "\nhit\n" + "\n".join(f"line {i}" for i in range(6, 12))
+    files = spark.createDataFrame([("f", text)], "source string, text string")
+    for chars in (60, 61, 75, 5000):
+        got = discovery.located(files, (C.Pattern("h", "h", "hit"),), {"w": C.Window(2, 2, chars)}).first()["w"]
+        whole = "\n".join(f"{'>' if i == 5 else ' '}{i:>5} | {text.splitlines()[i - 1]}" for i in range(3, 8))
+        size = lambda x: len(x.encode("utf-16-le")) // 2
+        if size(whole) <= chars:
+            assert got == whole
+        else:
+            body, end = got[: -len("\n[window truncated]")], got[-len("\n[window truncated]") :]
+            assert end == "\n[window truncated]" and whole.startswith(body) and chars - 26 < size(body) <= chars - 24
+
+
+def test_redaction_is_planned_once(spark):
+    from siftwell.plans import queries
+
+    docs = spark.createDataFrame([(1, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), "text")
+    out = classify.retained(classify.screen(queries._redacted(rows).drop("n"), classify.hash_scorer("q"), C.thresholds()))
+    plan = out.where("probability > 0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 7 and plan.count("regexp_extract_all(") == 7 and plan.count("md5(") == 1
 
 
 def test_packing_stops_at_the_first_violation(spark):
