@@ -3,7 +3,8 @@
 A renderer is any function from a list of (role, text) turns to one string. Nothing is known of it but its outputs: rendering
 the successive prefixes of a conversation and comparing consecutive outputs gives each turn's span, and shows a template that
 rewrites history (an output that does not begin with the one before). A mark in place of a turn's text then shows where in the
-span the text lies. Spans of a rewriting template are found by such marks in the whole output, turn by turn.
+span the text lies. Spans of a rewriting template are found by such marks in the whole output, turn by turn. Marks are characters
+that no turn of the conversation holds, and two of them must agree on the place.
 
 The built-in template writes ``<|turn:role|>``, line end, text, ``<|end|>``, line end. Control strings inside texts are escaped
 reversibly: every escape character is doubled, and after the first character of a control string one is put in.
@@ -18,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-ESCAPE, MARK = "␛", ""
+ESCAPE = "␛"
 #: Strings that steer common chat templates; none is left in an escaped text.
 CONTROL = re.compile(r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])|\|(?=>)")
 Turn = tuple[str, str]
@@ -52,35 +54,44 @@ class Formatted:
     rewrites: bool
 
 
+def marks(turns: list[Turn]) -> list[str]:
+    """Two characters that ``turns`` don't hold: private ones, or any others where all of those are used."""
+    used = set().union(*map(set, (x for turn in turns for x in turn)))
+    ranges = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE), range(0x21, 0xD800))
+    found = list(islice((c for r in ranges for c in map(chr, r) if c not in used), 2))
+    if len(found) < 2:
+        raise ValueError("the conversation holds every character")
+    return found
+
+
+def _place(turns: list[Turn], k: int, whole: str, renderer: Renderer, two: list[str], start: int = 0) -> tuple[int, int] | None:
+    """Where in ``whole``, the rendering of ``turns``, the text of turn ``k`` lies, from ``start`` on; None if marks don't show it."""
+    spots = set()
+    for mark in two:
+        marked = renderer([*turns[:k], (turns[k][0], mark), *turns[k + 1 :]])
+        at = marked.find(mark, start)
+        if at < 0 or marked[:at] != whole[:at] or not whole.endswith(marked[at + 1 :]) or len(marked) - 1 > len(whole):
+            return None
+        spots.add((at, len(whole) - (len(marked) - at - 1)))
+    return spots.pop() if len(spots) == 1 else None
+
+
 def locate(turns: list[Turn], renderer: Renderer = render) -> Formatted:
-    """Render the prefixes of ``turns`` one after the other and find each turn's span and the span of its text."""
-    before, spans, bodies, rewrites = renderer([]), [], [], False
-    for k, (role, text) in enumerate(turns):
+    """Render the prefixes of ``turns`` one after the other and find each turn's span and the span of its text. The text of a turn
+    that a template changes or leaves out, so that marks don't show its place, has an empty span at its turn's start."""
+    before, spans, bodies, two = renderer([]), [], [], marks(turns)
+    for k in range(len(turns)):
         now = renderer(turns[: k + 1])
         if not now.startswith(before):
-            rewrites = True
-            break
-        span = (len(before), len(now))
-        marked = renderer([*turns[:k], (role, MARK)])
-        at = marked.find(MARK, len(before))
-        if at < 0 or not marked.startswith(before):
-            rewrites = True
             break
-        spans.append(span)
-        bodies.append((at, len(now) - (len(marked) - at - len(MARK))))
+        spans.append((len(before), len(now)))
+        bodies.append(_place(turns[: k + 1], k, now, renderer, two, len(before)) or (len(before), len(before)))
         before = now
-    if not rewrites:
+    else:
         return Formatted(before, spans, bodies, False)
-    whole, spans, bodies = renderer(turns), [], []
-    for k, (role, _) in enumerate(turns):
-        marked = renderer([*turns[:k], (role, MARK), *turns[k + 1 :]])
-        at = marked.find(MARK)
-        if at < 0:  # the template leaves this text out
-            bodies.append((0, 0))
-        else:
-            bodies.append((at, len(whole) - (len(marked) - at - len(MARK))))
-        spans.append(bodies[-1])
-    return Formatted(whole, spans, bodies, True)
+    whole = renderer(turns)
+    bodies = [_place(turns, k, whole, renderer, two) or (0, 0) for k in range(len(turns))]
+    return Formatted(whole, bodies, bodies, True)
 
 
 def read_back(text: str) -> list[Turn]:

@@ -3,14 +3,17 @@
 Learning counts the words (runs of letters, lower case) of labelled documents by language. A word that is among the ``WORDS`` most
 frequent of some language scores by its smoothed log frequency in each. Any other word is read as ``^word$``: at every position
 the longest known character n-gram (``GRAM`` down to one character) gives its log frequency, and the word scores their mean. A
-document's language is the one with the highest sum, its score the softmax of the sums. The softmax says nothing of a text that is
-in no language at all, so :func:`accepted` also asks for fluency, the mean log-likelihood of a character in that language, with a
-floor between its training documents and the same documents with shuffled letters.
+document's language is the one with the highest mean over its words, its score the softmax of the means, which doesn't saturate
+with the length. The softmax says nothing of a text that is in no language at all, so :func:`accepted` asks for fluency, the mean
+log-likelihood of a character in that language, with a floor between its training documents and the same documents with shuffled
+letters.
 
 The fit is bounded: at most about ``FIT_DOCS`` labelled documents, taken by a hash of their ids (all of them where there are
 fewer), and at most ``WORDS`` words and ``GRAMS`` n-grams of each of the ``LANGS`` most frequent languages. Prediction reads every
-whole text, and so does learning: words of any length count with all their n-grams, long ones under a digest. A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing could be learned. Null
-languages teach nothing. Repeated rows stay rows; an empty table gives an empty table; other columns are not looked at.
+whole text, and so does learning: words of any length count with all their n-grams, long ones under a digest. What a worker keeps
+of the words it has met is bounded by ``CACHED`` words and twice ``CELLS`` numbers. A null text, or one without a letter, is ``und`` with
+score 0, as is every text if nothing could be learned. Null languages teach nothing. Repeated rows stay rows; an empty table gives
+an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,13 +34,14 @@ from pyspark.sql import functions as F
 from . import shared
 
 FIT_DOCS, WORDS, GRAMS, GRAM, LANGS = 20_000, 20_000, 10_000, 4, 256
-SMOOTHING, CACHED, CACHED_CHARS = 0.5, 300_000, 48
-#: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its
-#: floor; words whose fluency is remembered.
-BACK, UNSEEN, FLOOR_DOCS, FLUENT = -0.9, -20.0, 200, 60_000
+SMOOTHING, CACHED, CELLS, CACHED_CHARS = 0.5, 100_000, 1 << 20, 48
+#: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its floor.
+BACK, UNSEEN, FLOOR_DOCS = -0.9, -20.0, 200
 PIECE, LONG = 1 << 15, "#"
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+").findall
+#: Marks that follow letters, such as the vowel signs of Indic scripts, are part of the word.
+MARKS = "".join(c for c in map(chr, range(0x300, 0xFFFE)) if unicodedata.category(c)[0] == "M")
+WORD = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*").findall
 
 
 def named(word: str) -> str:
@@ -117,96 +122,110 @@ def _logs(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, np.n
 
 
 class Scorer:
+    """Scores words and remembers them: a row of log-likelihoods by language, and of fluency where it was asked for."""
+
     def __init__(self, model: dict) -> None:
-        self.langs, self.known, self.grams = model["langs"], model["words"], model["grams"]
-        self.floor = np.full(len(self.langs), -20.0)
-        self.rows: list[np.ndarray] = []
-        self.index: dict[str, int] = {}
-        self.long: list[str] = []
-        self.table = np.zeros((0, len(self.langs)))
+        self.langs, self.known = model["langs"], model["words"]
+        self.grams = {g: i for i, g in enumerate(model["grams"])}
+        floor = np.full((1, len(self.langs)), -20.0)
+        self.gram_logs = np.concatenate([np.array(list(model["grams"].values()), float).reshape(len(self.grams), len(self.langs)), floor])
         self.seen: dict[str, dict[str, int]] = {lang: {} for lang in self.langs}
         for gram, by in model.get("seen", {}).items():
             for lang, k in by.items():
                 self.seen[lang][gram] = k
         self.letters = {lang: sum(k for g, k in by.items() if len(g) == 1) for lang, by in self.seen.items()}
-        self.fluent: dict[str, dict[str, float]] = {lang: {} for lang in self.langs}
+        self.steps: dict[str, dict[str, float]] = {lang: {} for lang in self.langs}
+        self.index: dict[str, int] = {}  # rows of the three
+        self.table = np.zeros((256, len(self.langs)))
+        self.fluent = np.full((256, len(self.langs)), np.nan)
+        self.sizes = np.zeros(256)
 
     def backoff(self, word: str) -> np.ndarray:
         """The mean over the positions of ``^word$`` of the longest known n-gram there."""
         w = f"^{word}$"
-        total, get = np.zeros(len(self.langs)), self.grams.get
+        get, rows = self.grams.get, []
         for i in range(len(w)):
             for k in range(min(GRAM, len(w) - i), 0, -1):
                 found = get(w[i : i + k])
                 if found is not None:
-                    total += found
+                    rows.append(found)
                     break
             else:
-                total += self.floor
-        return total / len(w)
+                rows.append(-1)
+        return self.gram_logs[rows].mean(axis=0)
 
     def word(self, word: str) -> np.ndarray:
         found = self.known.get(named(word))
         return self.backoff(word) if found is None else found
 
+    def _step(self, gram: str, found: int, lang: str) -> float:
+        """The log-likelihood of a gram's last character after those before it."""
+        steps = self.steps[lang]
+        if gram not in steps:
+            steps[gram] = min(0.0, math.log(found / (self.seen[lang].get(gram[:-1], found) if len(gram) > 1 else self.letters[lang])))
+        return steps[gram]
+
     def characters(self, word: str, lang: str) -> float:
         """The log-likelihood of the characters of ``word$``, each after at most GRAM - 1 before it; every step back costs BACK."""
-        w, seen, total = f"^{word}$", self.seen[lang], 0.0
+        w, seen, steps, total = f"^{word}$", self.seen[lang], self.steps[lang], 0.0
         for i in range(1, len(w)):
             most = min(GRAM - 1, i)
             for k in range(most, -1, -1):
-                found = seen.get(w[i - k : i + 1])
+                gram = w[i - k : i + 1]
+                found = seen.get(gram)
                 if found:
-                    total += min(0.0, math.log(found / (seen.get(w[i - k : i], found) if k else self.letters[lang]))) + (most - k) * BACK
+                    total += (steps[gram] if gram in steps else self._step(gram, found, lang)) + (most - k) * BACK
                     break
             else:
                 total += UNSEEN
         return total
 
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The words' rows. Words of more than CACHED_CHARS letters are forgotten at the next call."""
+        for w in [w for w in reversed(self.index) if len(w) > CACHED_CHARS] if self.long else ():
+            del self.index[w]
+        self.long = False
+        if len(self.index) > min(CACHED, CELLS // max(1, len(self.langs))):
+            self.index.clear()
+        found = list(map(self.index.get, words))
+        if None in found:
+            for w in sorted({w for w, at in zip(words, found) if at is None}, key=len):  # so that long words have the last rows
+                at = self.index[w] = len(self.index)
+                if at == len(self.table):
+                    self.table, self.fluent, self.sizes = (np.concatenate([x, np.full_like(x, np.nan)]) for x in (self.table, self.fluent, self.sizes))
+                self.table[at], self.fluent[at], self.sizes[at] = self.word(w), np.nan, len(w) + 1
+                self.long = self.long or len(w) > CACHED_CHARS
+            found = list(map(self.index.__getitem__, words))
+        return np.array(found, np.int64)
+
+    long = False
+
     def fluency(self, words: list[str], lang: str) -> float:
         """The mean log-likelihood of a character of ``words`` in ``lang``."""
-        memo = self.fluent[lang]
-        if len(memo) > FLUENT // len(self.langs) + 1000:
-            memo.clear()
-        total, n = 0.0, 0
-        for word, k in Counter(words).items():
-            found = memo.get(word)
-            if found is None:
-                found = self.characters(word, lang)
-                if len(word) <= CACHED_CHARS:
-                    memo[word] = found
-            total += k * found
-            n += k * (len(word) + 1)
-        return total / n
+        return self._fluency(words, self.rows(words), self.langs.index(lang))
+
+    def _fluency(self, words: list[str], rows: np.ndarray, k: int) -> float:
+        found = self.fluent[rows, k]
+        missing = np.flatnonzero(np.isnan(found)).tolist()
+        if missing:
+            for at, i in {rows[i]: i for i in missing}.items():
+                self.fluent[at, k] = self.characters(words[i], self.langs[k])
+            found = self.fluent[rows, k]
+        return float(found.sum() / self.sizes[rows].sum())
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        return self.judge([WORD(t.lower()) if t else [] for t in texts])
+        judged = [self.judge(WORD(t.lower()) if t else []) for t in texts]
+        return [lang for lang, _, _ in judged], [score for _, score, _ in judged]
 
-    def judge(self, cut: list[list[str]]) -> tuple[list[str], list[float]]:
-        """The language and score of each text, given its words."""
-        for w in self.long:  # only words of at most CACHED_CHARS letters are remembered
-            del self.index[w]
-        if len(self.rows) > CACHED:
-            self.index, self.rows = {}, []
-        new = list(set().union(*cut).difference(self.index)) if cut else []
-        for w in new:
-            self.index[w] = len(self.rows)
-            self.rows.append(self.word(w))
-        self.long = [w for w in new if len(w) > CACHED_CHARS]
-        if new:
-            self.table = np.array(self.rows)
-        langs, scores, get = [], [], self.index.__getitem__
-        for words in cut:
-            if not self.langs or not any(c.isalpha() for w in words for c in w):
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            sums = self.table[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0)
-            p = np.exp(sums - sums.max())
-            best = int(sums.argmax())  # of equal sums the first by name
-            langs.append(self.langs[best])
-            scores.append(float(p[best] / p.sum()))
-        return langs, scores
+    def judge(self, words: list[str], fluency: bool = False) -> tuple[str, float, float]:
+        """The language of a text's words, its score and, if asked for, its fluency in that language."""
+        if not self.langs or not any(c.isalpha() for w in words for c in w):
+            return UNDETERMINED, 0.0, 0.0
+        rows = self.rows(words)
+        mean = self.table[rows].mean(axis=0)
+        p = np.exp(mean - mean.max())
+        best = int(mean.argmax())  # of equal means the first by name
+        return self.langs[best], float(p[best] / p.sum()), self._fluency(words, rows, best) if fluency else 0.0
 
 
 def with_language(docs: DataFrame, model: dict, lang_name: str, score_name: str, text_col: str = "text") -> DataFrame:
@@ -258,8 +277,8 @@ def floors(rows: DataFrame, model: dict) -> dict[str, tuple[float, float]]:
 
 
 def accepted(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least`` or more, all columns kept. The score is the smaller
-    of the softmax and of the fluency in that language, a logistic value which is 0.5 at the language's floor."""
+    """The rows of ``docs`` that are fluent in the language found, by ``least`` or more, all columns kept: a logistic value of the
+    fluency, which is 0.5 at the language's floor. A text between two close languages is so kept as either."""
     taught = docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     model = fit(taught, text_col=text_col)
     bounds = floors(training(taught, "lang", text_col, "doc_id", FIT_DOCS), model)
@@ -270,13 +289,15 @@ def accepted(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> Dat
     def compute(texts: list[str | None]) -> list[pa.Array]:
         if not hold:
             hold.append(Scorer(sent.value))
-        cut = [WORD(t.lower()) if t else [] for t in texts]
-        langs, scores = hold[0].judge(cut)
-        for i, (words, found) in enumerate(zip(cut, langs)):
+        langs, scores = [], []
+        for t in texts:
+            found, share, fluency = hold[0].judge(WORD(t.lower()) if t else [], True)
             if found in bounds:
                 floor, usual = bounds[found]
-                far = 4 * (hold[0].fluency(words, found) - floor) / (usual - floor)
-                scores[i] = min(scores[i], 1 / (1 + math.exp(-max(-50.0, min(50.0, far)))))
+                far = 4 * (fluency - floor) / (usual - floor)
+                share = 1 / (1 + math.exp(-max(-50.0, min(50.0, far))))
+            langs.append(found)
+            scores.append(share)
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
     out = shared.append(docs, text_col, [(lang, "string"), (score, "double")], compute)

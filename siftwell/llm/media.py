@@ -1,7 +1,9 @@
 """Media columns: PNG files in binary columns, written and read with zlib and numpy, and cosine-transform hashes of them.
 
 A PNG is its signature and chunks, each with a CRC-32 that reading tests; IDAT chunks inflate to filtered rows, which numpy
-unfilters: runs of rows with one filter at once for None, Sub and Up, row by row for Average and Paeth. Reading takes 8-bit grey,
+unfilters: runs of rows with one filter at once for None, Sub and Up, by diagonals for Average and Paeth (a pixel waits for those to
+its left, above and between them, so all of a diagonal are ready together). A file may claim any size: no more is inflated than its
+header says. Reading takes 8-bit grey,
 grey with alpha, RGB and RGBA without interlace; writing makes the same. A broken file raises ``MediaError`` in :func:`decode_png`; the
 column functions give it a null feature and the message.
 
@@ -81,6 +83,20 @@ def encode_png(pixels: np.ndarray, filters: tuple[int, ...] = (0,), level: int =
     return SIGNATURE + _chunk(b"IHDR", head) + b"".join(_chunk(b"IDAT", data[i : i + IDAT]) for i in range(0, len(data), IDAT)) + _chunk(b"IEND", b"")
 
 
+def _diagonals(kind: int, rows: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
+    """Rows of one filter, Average (3) or Paeth (4), unfiltered."""
+    height, width = len(rows), rows.shape[1] // bpp
+    grid = np.zeros((height + 1, width + 1, bpp), np.uint8)  # with the row above and a column of zeros to the left
+    grid[0, 1:] = above.reshape(width, bpp)
+    grid[1:, 1:] = rows.reshape(height, width, bpp)
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(d, height - 1) + 1)
+        c = d - r
+        left, up, corner = grid[r + 1, c], grid[r, c + 1], grid[r, c]
+        grid[r + 1, c + 1] += ((left.astype(np.uint16) + up) >> 1).astype(np.uint8) if kind == 3 else _paeth(left, up, corner)
+    return grid[1:, 1:].reshape(height, width * bpp)
+
+
 def _unfiltered(kinds: np.ndarray, body: np.ndarray, bpp: int) -> np.ndarray:
     height, stride = body.shape
     out = np.empty_like(body)
@@ -95,14 +111,7 @@ def _unfiltered(kinds: np.ndarray, body: np.ndarray, bpp: int) -> np.ndarray:
         elif kind == 2:
             out[start:stop] = rows.cumsum(axis=0, dtype=np.uint8) + above
         elif kind in (3, 4):
-            for r in range(start, stop):
-                up, now = above.reshape(-1, bpp), body[r].reshape(-1, bpp).copy()
-                left = corner = np.zeros(bpp, np.uint8)
-                for i in range(len(now)):
-                    guess = ((left.astype(np.uint16) + up[i]) >> 1).astype(np.uint8) if kind == 3 else _paeth(left, up[i], corner)
-                    now[i] += guess
-                    left, corner = now[i], up[i]
-                out[r] = above = now.ravel()
+            out[start:stop] = _diagonals(kind, rows, above, bpp)
         else:
             raise MediaError(f"filter {kind}")
         above = out[stop - 1]
@@ -120,6 +129,8 @@ def decode_png(data: bytes) -> np.ndarray:
         if len(crc) != 4 or zlib.crc32(body, zlib.crc32(kind)) != int.from_bytes(crc, "big"):
             raise MediaError(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
+            if size != 13:
+                raise MediaError(f"a header of {size} bytes")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)
@@ -134,12 +145,12 @@ def decode_png(data: bytes) -> np.ndarray:
     if depth != 8 or color not in CHANNELS or method or filtering or interlace or not width or not height:
         raise MediaError(f"header {head}")
     channels = CHANNELS[color]
+    stride, inflate = width * channels, zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(parts))
+        raw = inflate.decompress(b"".join(parts), height * (stride + 1) + 1)
     except zlib.error as error:
         raise MediaError(str(error)) from error
-    stride = width * channels
-    if len(raw) != height * (stride + 1):
+    if len(raw) != height * (stride + 1) or not inflate.eof:
         raise MediaError("the image data has another size")
     rows = np.frombuffer(raw, np.uint8).reshape(height, stride + 1)
     out = _unfiltered(rows[:, 0], rows[:, 1:], channels)

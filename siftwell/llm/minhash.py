@@ -28,8 +28,8 @@ WIDTH, PERMUTATIONS, BANDS, ROWS, THRESHOLD = 5, 128, 25, 5, 0.8
 #: Sets that a task holds at once to compare others with; rows that are compared with them in one task.
 BLOCK, STREAM = 64, 1024
 CHUNK = 1 << 15
-#: Ranges of doc_id at most; each row is compared with their bounds.
-RANGES = 2048
+#: Ranges of documents at most, and how many of their bounds form a group: a row looks for its group, then for its range in it.
+RANGES, GROUP = 16_384, 128
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _A = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
@@ -130,29 +130,38 @@ EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint stri
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's fingerprint, that of its edited text, and the likeness of its own to the edited and to the next one's.
 
-    The next document is the one with the next larger doc_id, after the last the first; of rows with one doc_id the next row in
-    the order of the text, so ties have a defined result. Null doc_ids come first. One shuffle by ranges of doc_id brings
-    neighbours together; a range ends with a copy of the first document of the one after it. Each task streams its sorted rows.
+    The next document is the one with the next larger doc_id, after the last the first; rows of one doc_id follow each other in the
+    order of a hash of the text, then of the text. Null doc_ids come first. One shuffle by ranges of (doc_id, hash) brings neighbours
+    together, so that a doc_id with many rows is many ranges; a range ends with a copy of the first document of the one after it.
+    Each task streams its sorted rows.
     """
     spark = docs.sparkSession
     shared.bounded_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("at", F.struct(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("h")))
     n = min(RANGES, shared.partitions(spark))  # a range is sorted with spills and streamed, so it may be of any size
-    cuts = sorted(set(base.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    cut_list = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    part = F.coalesce(F.size(F.filter(cut_list, lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    placed = base.withColumn("part", part.cast("int"))
-    # the first row of each range: its smallest doc_id, then its smallest text
-    firsts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("least")).orderBy("part").collect()  # a row for each range
-    if not firsts:
+    order = shared.materialize(shared.ranked(base.select("at.*"), ["a", "d", "h"], "rank", "mh-order"), "mh-places")
+    total = order.count()
+    if not total:
         return spark.createDataFrame([], EDIT_SCHEMA)
-    turn = [(r["least"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]  # the first of a range also goes to the range before it
-    heads = spark.createDataFrame(turn, "least long, to int")
-    tied = placed.join(F.broadcast(heads), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("least"))
-    ahead = tied.withColumn("rn", F.row_number().over(Window.partitionBy("to").orderBy("text"))).where("rn = 1").select("doc_id", "text", F.col("to").alias("part"), F.lit(1).alias("ahead"))
-    rows = placed.withColumn("ahead", F.lit(0)).unionByName(ahead)
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    cuts = sorted(tuple(r) for r in order.where(F.col("rank") % -(-total // n) == 0).where("rank > 0").select("a", "d", "h").distinct().collect())  # fewer than the ranges
+    shared.release(order)
+    point = lambda c: F.struct(F.lit(c[0]).alias("a"), F.lit(c[1]).cast("long").alias("d"), F.lit(c[2]).cast("long").alias("h"))
+    behind = lambda points: F.size(F.filter(points, lambda c: c <= F.col("at")))
+    part = F.lit(0)
+    if cuts:
+        groups = [cuts[i : i + GROUP] for i in range(0, len(cuts), GROUP)]
+        group = behind(F.array(*[point(g[0]) for g in groups]))
+        part = F.when(group == 0, 0).otherwise((group - 1) * GROUP + behind(F.element_at(F.array(*[F.array(*map(point, g)) for g in groups]), F.greatest(group, F.lit(1)))))
+    placed = base.withColumn("part", part.cast("int"))
+    # the first row of each range: its least place, then its smallest text
+    firsts = placed.groupBy("part").agg(F.min("at").alias("least")).orderBy("part").collect()  # a row for each range
+    turn = [(tuple(r["least"]), firsts[i - 1]["part"]) for i, r in enumerate(firsts)]  # the first of a range also goes to the range before it
+    heads = spark.createDataFrame(turn, "at struct<a:boolean,d:long,h:long>, to int")
+    tied = placed.join(F.broadcast(heads), "at")
+    ahead = tied.withColumn("rn", F.row_number().over(Window.partitionBy("to").orderBy("text"))).where("rn = 1").select("doc_id", "text", "at", F.col("to").alias("part"), F.lit(1).alias("ahead"))
+    rows = placed.withColumn("ahead", F.lit(0)).unionByName(ahead).select("doc_id", "text", "part", "ahead", "at")
+    rows = rows.repartition(n, "part").sortWithinPartitions("part", "ahead", "at", "text").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SHARDS, OVERHEAD, KNOWN = 40, 16, 1 << 17
+SHARDS, OVERHEAD, KNOWN = 40, 16, 1 << 15
 
 
 class Places:
@@ -33,13 +33,17 @@ class Places:
         self.total, self.known = total, [0, total]
         self.open: set[int] = {total} if total else set()  # a stretch is named by its upper end
 
-    def learn(self, found: list[int], low: int, high: int, whole: bool) -> None:
-        """``found`` are sums in (low, high]; ``whole``: they are all of them there."""
-        if whole:
-            self.open = {x for x in self.open if not low < x <= high}
+    def learn(self, found: list[int], read: list[tuple[int, int, bool]]) -> None:
+        """``found`` are sums in the stretches ``read``, which are apart and ascend: (low, high, whole) holds those in (low, high],
+        all of them if whole."""
+        lows = [low for low, _, _ in read]
+
+        def whole(x: int) -> bool:
+            i = bisect_left(lows, x) - 1
+            return i >= 0 and x <= read[i][1] and read[i][2]
+
+        self.open = {x for x in {*self.open, *found} if not whole(x)}
         self.known = sorted({*self.known, *found})
-        if not whole:
-            self.open |= {x for x in found}
 
     def last(self, limit: int, hopeful: bool) -> int:
         """The farthest end at or below ``limit``: a known one, or hopefully any place in a stretch that holds unknown ones."""
@@ -84,10 +88,8 @@ def minimax_cuts(sums: DataFrame, total: int, largest: int, shards: int, known:
             wanted = wanted | (inside if width == 1 else inside & (grid != first))
         found = sorted({r[0] for r in sums.where(wanted).select("upto").collect()})  # at most ``known`` of them
         if set(found) <= set(places.known) and any(b - a > per for a, b in stretches):
-            known *= 2  # so coarse a grid finds nothing new; with KNOWN well over the square of the shards this doesn't happen
-        for a, b in stretches:
-            width = max(1, -(-(b - a) // per))
-            places.learn([x for x in found if a < x <= b], a, b, width == 1)
+            known *= 2  # so coarse a grid finds nothing new, which only a count well below the square of the shards can bring about
+        places.learn(found, [(a, b, b - a <= per) for a, b in stretches])
         high = _search(low, high, lambda c: places.needs(c, shards, False) is not None)
         low = _search(low, high, lambda c: places.needs(c, shards, True) is not None) - 1
         if low + 1 >= high:

@@ -2,7 +2,8 @@
 
 A shard's ids are stored as bit-planes, the highest bit first; each plane is the order after a stable partition by the plane
 before it. Planes are cut into blocks of ``BLOCK`` bits, each compressed alone, with the ones before it in the header, so a
-lookup inflates only the blocks it meets. Documents lie in ascending doc_id order (ties by text, null ids first), each ended by
+lookup inflates only the blocks it meets; an open block has a directory of the ones before each ``SUPER`` bits, so rank counts at
+most that many bits and select searches directories. Documents lie in ascending doc_id order (ties by text, null ids first), each ended by
 the end id. A file is written under another name and renamed, so a task that runs twice leaves one whole file.
 
 Null and empty texts hold the end id alone. Repeated rows stay rows. An empty table gives no shard and an empty result. Other
@@ -16,6 +17,7 @@ import os
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MAGIC, BLOCK, SHARD_TOKENS = b"SWWM0001", 1 << 19, 1 << 20
+MAGIC, BLOCK, SUPER, SHARD_TOKENS = b"SWWM0001", 1 << 19, 512, 1 << 20
 CACHED, CACHED_CHARS = 800_000, 48
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -82,14 +84,20 @@ class Shard:
             self._where.append(ends.tolist())
             at = int(ends[-1])
 
-    def _block(self, level: int, k: int) -> np.ndarray:
+    def _plain(self, level: int, k: int) -> np.ndarray:
+        a, b = self._where[level][k : k + 2]
+        return np.frombuffer(zlib.decompress(self._data[a:b]), np.uint8)
+
+    def _block(self, level: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The block's bytes, and the ones before each of its superblocks."""
         if (level, k) not in self._open:
-            a, b = self._where[level][k : k + 2]
-            self._open[level, k] = np.frombuffer(zlib.decompress(self._data[a:b]), np.uint8)
+            data = self._plain(level, k)
+            counts = np.add.reduceat(_POP[data], np.arange(0, len(data), SUPER // 8), dtype=np.int64)
+            self._open[level, k] = data, np.concatenate(([0], counts.cumsum()))
         return self._open[level, k]
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self._block(level, i // BLOCK)[i % BLOCK >> 3]) >> (i & 7) & 1
+        return int(self._block(level, i // BLOCK)[0][i % BLOCK >> 3]) >> (i & 7) & 1
 
     def _ones(self, level: int, i: int) -> int:
         """Ones of the plane before position i."""
@@ -98,21 +106,21 @@ class Shard:
         k, rest = divmod(i, BLOCK)
         if k == len(self.before[level]):
             k, rest = k - 1, BLOCK
-        block = self._block(level, k)
-        found = self.before[level][k] + int(_POP[block[: rest >> 3]].sum(dtype=np.int64))
+        block, ones = self._block(level, k)
+        at = rest // SUPER
+        found = self.before[level][k] + int(ones[at]) + int(_POP[block[at * SUPER // 8 : rest >> 3]].sum(dtype=np.int64))
         return found + (int(_POP[block[rest >> 3] & ((1 << (rest & 7)) - 1)]) if rest & 7 else 0)
 
     def _select(self, level: int, one: int, k: int) -> int:
         """The position of the k-th (from 0) one or zero of the plane."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            seen = self._ones(level, mid + 1)
-            if (seen if one else mid + 1 - seen) <= k:
-                low = mid + 1
-            else:
-                high = mid
-        return low
+        before = self.before[level]
+        at = bisect_right(range(len(before)), k, key=lambda b: before[b] if one else b * BLOCK - before[b]) - 1
+        k -= before[at] if one else at * BLOCK - before[at]
+        block, ones = self._block(level, at)
+        counts = ones if one else np.arange(len(ones)) * SUPER - ones
+        part = int(np.searchsorted(counts[:-1], k, side="right")) - 1
+        bits = np.unpackbits(block[part * SUPER // 8 : (part + 1) * SUPER // 8], bitorder="little")
+        return at * BLOCK + part * SUPER + int(np.flatnonzero(bits == one)[k - int(counts[part])])
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -155,7 +163,7 @@ class Shard:
         dtype = np.uint16 if self.bits <= 16 else np.uint32
         current = np.zeros(self.n, dtype)
         for level in range(self.bits - 1, -1, -1):
-            plane = np.concatenate([self._block(level, k) for k in range(len(self.before[level]))]) if self.n else np.zeros(0, np.uint8)
+            plane = np.concatenate([self._plain(level, k) for k in range(len(self.before[level]))]) if self.n else np.zeros(0, np.uint8)
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(np.bool_)
             z = self.zeros[level]
             above = np.empty(self.n, dtype)
@@ -182,7 +190,15 @@ def _latin(text: str) -> bool:
 class ChunkTokenizer:
     """A tokenizers file with word ends whose pre-tokens hold no white space. Chunks between spaces and line ends encode alone,
     and are remembered. In plain Latin texts marks after a word are cut off first, and case is dropped as the file does. New words
-    go to the library joined by spaces, many in a call, and the ids are cut after those of a word end."""
+    go to the library joined by spaces, many in a call, and the ids are cut after those of a word end. A file whose rules are not
+    these encodes whole texts."""
+
+    #: The rules under which chunks encode alone: white space only separates, and no word goes beyond it.
+    RULES = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        "</w>",
+    )
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -195,6 +211,9 @@ class ChunkTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {"": b""}
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.chunks = (rules.get("normalizer"), rules.get("pre_tokenizer"), rules["model"].get("end_of_word_suffix")) == self.RULES
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -209,6 +228,8 @@ class ChunkTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16- or 32-bit integers."""
+        if not self.chunks:
+            return self._alone(texts)
         if len(self.memo) > CACHED:
             self.memo = {"": b""}
         cut = []

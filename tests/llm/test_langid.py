@@ -35,3 +35,28 @@ def test_long_runs_teach(spark):
     assert scorer.predict([texts["xa"](), texts["xb"](), "abcab", "monom"])[0] == ["xa", "xb", "xa", "xb"]
     scorer.predict(["abc"])
     assert all(len(w) <= langid.CACHED_CHARS for w in scorer.index)
+
+
+def test_scripts_without_spaces_and_with_vowel_signs(spark):
+    """Chinese, Thai and Hindi clauses: learned from whole runs, told apart on new ones, with scores that grow with the evidence."""
+    r = random.Random(9)
+    parts = {"zh": "我们 他们 今天 天气 很好 学习 中国 人民 工作 大学 图书 时间".split(), "th": "วันนี้ อากาศ ดีมาก เรียน ภาษา ไทย ทำงาน โรงเรียน หนังสือ เวลา".split(), "hi": "आज मौसम बहुत अच्छा है हम भारत में काम करते हैं समय किताब".split()}
+    make = {"zh": lambda n: "".join(r.choice(parts["zh"]) for _ in range(n)), "th": lambda n: "".join(r.choice(parts["th"]) for _ in range(n)), "hi": lambda n: " ".join(r.choice(parts["hi"]) for _ in range(n))}
+    rows = [(k, make[lang](60), lang) for k, lang in enumerate(["zh", "th", "hi"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scorer = langid.Scorer(langid.fit(docs))
+    for lang in make:
+        found, scores = scorer.predict([make[lang](n) for n in (5, 30, 200)])
+        assert found == [lang] * 3 and all(0.5 < x <= 1 for x in scores)
+    assert langid.WORD(parts["hi"][1]) == [parts["hi"][1]]  # vowel signs don't cut the word
+
+
+def test_the_score_is_not_saturated_and_memory_is_bounded(monkeypatch):
+    model = {"langs": ["a", "b"], "words": {"x": [-1.0, -1.5], "y": [-2.0, -1.0]}, "grams": {}}
+    scorer = langid.Scorer(model)
+    even = scorer.predict(["x " * 1000, "x y " * 500])
+    assert even[0] == ["a", "b"] and abs(even[1][0] - 1 / (1 + 2.718281828 ** -0.5)) < 1e-6 and even[1][1] < 0.6
+    monkeypatch.setattr(langid, "CELLS", 40)
+    for k in range(50):
+        scorer.predict([f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" + " w" * k])
+    assert len(scorer.index) <= 22 and len(scorer.table) <= 256
