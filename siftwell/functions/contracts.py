@@ -103,8 +103,12 @@ def review_contract(dispositions: tuple[Disposition, ...] = NEUTRAL) -> tuple[Di
         raise ContractError("a contract has three or more different disposition ids in upper case")
     if not ("CONFIRM" in by and by["CONFIRM"].terminal and by["CONFIRM"].finding):
         raise ContractError("CONFIRM is terminal and a finding")
-    if "INSUFFICIENT_EVIDENCE" not in by or by["INSUFFICIENT_EVIDENCE"].terminal:
+    if "INSUFFICIENT_EVIDENCE" not in by or by["INSUFFICIENT_EVIDENCE"].terminal or by["INSUFFICIENT_EVIDENCE"].finding:
         raise ContractError("INSUFFICIENT_EVIDENCE is there and not terminal")
+    if any(not d.description.strip() for d in dispositions):
+        raise ContractError("every disposition has a description")
+    if any(not d.terminal for d in dispositions if d.id != "INSUFFICIENT_EVIDENCE"):
+        raise ContractError("only INSUFFICIENT_EVIDENCE is not terminal")
     if any(d.finding for d in dispositions if d.id != "CONFIRM"):
         raise ContractError("only CONFIRM is a finding")
     if not any(d.terminal and not d.finding for d in dispositions):
@@ -202,7 +206,8 @@ def parse_preset(data: Mapping) -> Preset:
     else:
         _only(data, {"id", "label", "description", "provider", "adapter", "primary", "refinement", "review", "evidence"}, "preset")
         spec = data.get("provider") or {}
-        provider = spec.get("kind") or spec.get("id") or data.get("adapter") or "generic-source"
+        kind = spec.get("kind")
+        provider = "generic-source" if kind == "generic-source" or "config" in spec else spec.get("id") or data.get("adapter") or kind or "generic-source"
         source = _source(spec["config"], (Window(1, 4, 3000), Window(4, 12, 10_000), Window(12, 36, 24_000))) if "config" in spec else None
         stage = _stage(data.get("primary") or {})
         refinement = _stage(data["refinement"]) if data.get("refinement") else None
@@ -222,9 +227,40 @@ FALLBACKS = {
 }
 
 
+HANDLERS = {
+    "id": "python-exceptions",
+    "label": "Exception handlers in Python",
+    "description": "Handlers that might let a failure pass for a normal, empty, default or partial result.",
+    "provider": {"kind": "builtin", "id": "python-exceptions"},
+    "primary": {
+        "threshold": 0.70,
+        "question": "Might this handler let a real failure pass for success, or for an empty, default or silently partial result?",
+        "criteria": {"true": "What failed matters to callers, and they may go on without being told of it.", "false": "The failure is told or raised again, or it concerns only cleaning up, measuring, display, trying again or extras."},
+    },
+    "refinement": {
+        "threshold": 0.75,
+        "question": "Does the text itself show that the caught failure can change, lose or misplace a result or state that callers rely on, without their being told?",
+        "criteria": {"true": "Operation, handler and what follows show such an effect on data, control or state.", "false": "What is shown is expected tidying of input, cleaning up, trying again, display, measuring, extras or a clear failure."},
+    },
+    "review": {
+        "dispositions": [
+            {"id": "CONFIRM", "terminal": True, "finding": True, "description": "A hidden failure changes what callers rely on."},
+            {"id": "EXPLICIT_FAILURE", "terminal": True, "finding": False, "description": "The failure reaches the caller."},
+            {"id": "UI_ONLY", "terminal": True, "finding": False, "description": "Only what is displayed changes."},
+            {"id": "OPTIONAL_ENRICHMENT", "terminal": True, "finding": False, "description": "Only an extra is missing, and can't pass for the core."},
+            {"id": "CLEANUP_RETRY_TELEMETRY", "terminal": True, "finding": False, "description": "Only cleaning up, trying again, logs or measures."},
+            {"id": "EXPECTED_NORMALIZATION", "terminal": True, "finding": False, "description": "The contract permits it and it shows."},
+            {"id": "NO_OUTWARD_EFFECT", "terminal": True, "finding": False, "description": "What is shown settles that nothing outward changes."},
+            {"id": "INSUFFICIENT_EVIDENCE", "terminal": False, "finding": False, "description": "What is shown settles neither; more is asked for."},
+        ]
+    },
+    "evidence": {"targetItems": 60, "maxItems": 80, "maxSources": 10, "maxChars": 120_000, "maxTokens": 7200},
+}
+
+
 def load_presets(*folders: str) -> dict[str, Preset]:
-    """The built-in preset and those of the folders' JSON files; listing skips malformed files, the first of an id wins."""
-    found = {FALLBACKS["id"]: parse_preset(FALLBACKS)}
+    """The built-in presets and those of the folders' JSON files; listing skips malformed files, the first of an id wins."""
+    found = {data["id"]: parse_preset(data) for data in (FALLBACKS, HANDLERS)}
     for folder in folders:
         for path in sorted(Path(folder).glob("*.json")) if Path(folder).is_dir() else []:
             try:

@@ -83,3 +83,11 @@ def java_regex(source: str, flags: str = "", in_class_words: bool = False) -> st
         i += 1
     marks = ("iu" if "i" in flags else "") + ("m" if "m" in flags else "") + ("s" if "s" in flags else "")
     return (f"(?{marks})" if marks else "") + "".join(out)
+
+
+def python_rules() -> list[tuple[re.Pattern, str]]:
+    """The redaction rules for Python's engine."""
+    from siftwell.operators.redaction import RULES
+
+    plain = lambda p: p.replace(r"\s", "[ \\t\\n\\x0b\\f\\r]").replace(r"[^[ \t\n\x0b\f\r],;]", r"[^ \t\n\x0b\f\r,;]").replace(r"[-\w", "[-A-Za-z0-9_")
+    return [(re.compile(plain(p)), re.sub(r"\$(\d)", r"\\g<\1>", to)) for p, to, _, _ in RULES]

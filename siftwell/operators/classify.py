@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.contracts import ContractError, Thresholds
+from siftwell.functions.contracts import ContractError, Stage, Thresholds
 
 #: A scorer gives STRUCT<stop_reason string, answer_type string, probability double> from (id, text).
 Scorer = Callable[[Column, Column], Column]
@@ -85,8 +85,18 @@ def screen(items: DataFrame, scorer: Scorer, limits: Thresholds, *, confirm: boo
     """(ord, id, bucket, probability, reason) for (ord, id, text). ``count`` is the number of items, for the guard."""
     if not confirm and preflight(items.count() if count is None else count, call_limit) != "ok":
         return items.select("ord", "id", F.lit("withheld").alias("bucket"), F.lit(None).cast("double").alias("probability"), F.lit("approval_required").alias("reason"))
-    large = tokens_of(F.col("text"), overhead) > max(1, int(context_window * fraction)) if context_window else F.lit(False)
+    large = too_large(F.col("text"), context_window, fraction, overhead)
     scored = once(items.select("ord", "id", "text", large.alias("large")), F.when(~F.col("large"), scorer(F.col("id"), F.col("text"))), "a")
+    return bucketed(scored, limits).drop("message")
+
+
+def too_large(text: Column, context_window: int | None, fraction: float = 0.85, overhead: int = 0) -> Column:
+    """Whether an item takes more than its share of the model's window; nothing is too large for a window that isn't known."""
+    return tokens_of(text, overhead) > max(1, int(context_window * fraction)) if context_window else F.lit(False)
+
+
+def bucketed(scored: DataFrame, limits: Thresholds) -> DataFrame:
+    """(ord, id, bucket, probability, reason, message) of (ord, id, large, a) and, where it is there, message."""
     p, stop = F.col("a.probability"), F.col("a.stop_reason")
     valid = (F.col("a.answer_type") == "bool") & p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p <= 1)
     reason = (
@@ -96,9 +106,15 @@ def screen(items: DataFrame, scorer: Scorer, limits: Thresholds, *, confirm: boo
         .when(stop == "error", "classifier_error")
         .when(~F.coalesce(valid, F.lit(False)), "malformed_answer")
     )
-    rows = scored.select("ord", "id", reason.alias("reason"), p.alias("p"))
+    message = F.col("message") if "message" in scored.columns else F.lit(None).cast("string")
+    rows = scored.select("ord", "id", reason.alias("reason"), p.alias("p"), message.alias("message"))
     bucket = F.when(F.col("reason") == "too_large", "withheld").when(F.col("reason").isNotNull(), "errors").otherwise(bucket_of(F.col("p"), limits))
-    return rows.select("ord", "id", bucket.alias("bucket"), F.when(F.col("reason").isNull(), F.col("p")).alias("probability"), "reason")
+    return rows.select("ord", "id", bucket.alias("bucket"), F.when(F.col("reason").isNull(), F.col("p")).alias("probability"), "reason", "message")
+
+
+def contract_of(stage: Stage) -> str:
+    """What a score depends on besides its item, as one string."""
+    return "|".join([stage.question, stage.yes, stage.no, repr(stage.thresholds)])
 
 
 def summary(outcomes: DataFrame) -> DataFrame:
@@ -129,7 +145,7 @@ def manifest(outcomes: DataFrame, limits: Thresholds, labels: tuple[str, ...] =
         F.when(F.col("bucket") == "kept", F.concat(F.lit("keepProbability "), p, F.lit(f" >= keep threshold {k}")))
         .when(F.col("bucket") == "dropped", F.concat(F.lit("keepProbability "), p, F.lit(f" <= drop threshold {d}")))
         .when(F.col("bucket") == "undecided", F.concat(F.lit("keepProbability "), p, F.lit(f" is between drop threshold {d} and keep threshold {k}")))
-        .otherwise(F.col("reason"))
+        .otherwise(F.concat_ws(": ", "reason", F.col("message") if "message" in outcomes.columns else F.lit(None).cast("string")))
     )
     sure = F.when(F.col("bucket") == "kept", F.col("probability")).when(F.col("bucket") == "dropped", F.lit(1.0) - F.col("probability"))
     out = outcomes.select("ord", "id", label.alias("label"), sure.alias("confidence"), why.alias("reason"))
@@ -165,10 +181,14 @@ def cache_split(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 def screen_cached(items: DataFrame, contract: str, cache: DataFrame, scorer: Scorer, limits: Thresholds, **options) -> DataFrame:
     """Outcomes with ``hit``: only missed items are scored, and the guard counts only these."""
-    split = cache_split(fingerprints(items, contract), cache)
+    return merge_hits(cache_split(fingerprints(items, contract), cache), lambda missed: screen(missed, scorer, limits, **options))
+
+
+def merge_hits(split: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the cache has, and ``score`` of the rest."""
     hits = split.where("cached_bucket IS NOT NULL").select("ord", "id", F.col("cached_bucket").alias("bucket"), F.col("cached_probability").alias("probability"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("hit"))
     missed = split.where("cached_bucket IS NULL").select("ord", "id", "text")
-    return hits.unionByName(screen(missed, scorer, limits, **options).withColumn("hit", F.lit(False)))
+    return hits.unionByName(score(missed).withColumn("hit", F.lit(False)), allowMissingColumns=True)
 
 
 def cache_write(cache: DataFrame, fresh: DataFrame, most: int = 50_000) -> DataFrame:

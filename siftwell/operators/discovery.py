@@ -6,11 +6,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import contracts
 from siftwell.functions.patterns import glob_regex, java_regex, literal_regex, may_be_empty, python_regex
+from siftwell.operators import tables
 from siftwell.operators.redaction import let
 
 
@@ -206,5 +207,4 @@ def candidates(files: DataFrame, source: contracts.Source, check: bool = False,
 
 def in_order(found: DataFrame) -> DataFrame:
     """With ``ord``: by source as people sort names, then offset, pattern and id."""
-    w = Window.orderBy(F.expr("source COLLATE UNICODE"), "off", "pattern_id", "id")
-    return found.withColumn("ord", F.row_number().over(w) - 1)
+    return tables.ranked(found.withColumn("_s", F.expr("source COLLATE UNICODE")), ["_s", "off", "pattern_id", "id"], "ord", "candidates").drop("_s")

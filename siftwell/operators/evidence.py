@@ -34,14 +34,17 @@ def with_windows(found: DataFrame, files: DataFrame, window: contracts.Window) -
 def packed(items: DataFrame, budget: contracts.Budget, key: str | None = None, order: str = "ord", clip_first: bool = False, size: Column | None = None, most: int | None = None) -> DataFrame:
     """The prefix of each packet (``key``) within items, sources and characters. Each running figure takes in the item that breaks
     a bound and never falls, so the filter is the prefix. ``clip_first`` cuts a first item that is too long instead of refusing it."""
+    if not key:  # one packet: only the rows that can be in it are brought together
+        items = items.orderBy(order).limit(budget.max_items)
     part = [key] if key else [F.lit(0)]
+    items = items.withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy(order))).where(F.col("_n") <= budget.max_items)
     run = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     first_of_source = F.row_number().over(Window.partitionBy(*part, "source").orderBy(order)) == 1
-    rows = items.withColumn("_new", first_of_source.cast("int")).withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy(order)))
+    rows = items.withColumn("_new", first_of_source.cast("int"))
     if clip_first:
         rows = rows.withColumn("evidence", F.when(F.col("_n") == 1, F.substring("evidence", 1, budget.max_chars)).otherwise(F.col("evidence")))
     rows = rows.withColumn("_s", F.sum("_new").over(run)).withColumn("_c", F.sum(F.length("evidence")).over(run))
-    keep = (F.col("_n") <= budget.max_items) & (F.col("_s") <= budget.max_sources) & (F.col("_c") <= budget.max_chars)
+    keep = (F.col("_s") <= budget.max_sources) & (F.col("_c") <= budget.max_chars)
     if size is not None:
         rows = rows.withColumn("_t", F.sum(size).over(run))
         keep = keep & (F.col("_t") <= most)

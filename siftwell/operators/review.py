@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.contracts import NEUTRAL, Disposition
+from siftwell.operators import tables
 from siftwell.operators.classify import ratio
 
 MORE = "INSUFFICIENT_EVIDENCE"
@@ -55,8 +56,9 @@ def disposition_counts(contract: DataFrame, rows: DataFrame, column: str = "disp
 def packets(state: DataFrame, target_items: int) -> DataFrame:
     """(target, detail, packet): needs-expanded targets first, then pending ones, ``target_items`` to a packet."""
     open_ = state.where(F.col("state").isin("pending", "needs_expanded")).withColumn("detail", F.when(F.col("state") == "needs_expanded", "expanded").otherwise("standard"))
-    w = Window.partitionBy("detail").orderBy("target")
-    return open_.select("target", "detail", F.floor((F.row_number().over(w) - 1) / target_items).cast("long").alias("packet"))
+    placed = tables.ranked(open_.select("target", "detail"), ["detail", "target"], "rank", "packets")
+    first = placed.groupBy("detail").agg(F.min("rank").alias("first"))  # two rows
+    return placed.join(F.broadcast(first), "detail").select("target", "detail", F.floor((F.col("rank") - F.col("first")) / target_items).cast("long").alias("packet"))
 
 
 def coverage_issues(packet: DataFrame, decisions: DataFrame, contract: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.contracts import ContractError
@@ -95,32 +95,108 @@ def call_name(node: ast.Call) -> str:
     return node.func.attr if isinstance(node.func, ast.Attribute) else node.func.id if isinstance(node.func, ast.Name) else ""
 
 
+def parse_id(name: str) -> tuple[str, int, int]:
+    """(path, start, stop) of a handler's id."""
+    path, _, lines = name.rpartition(":")
+    start, _, stop = lines.partition("-")
+    if not (path and start.isdigit() and stop.isdigit() and 0 < int(start) <= int(stop)):
+        raise ContractError(f"no handler id: {name}")
+    return path, int(start), int(stop)
+
+
+READS = ("get", "pop", "setdefault", "keys", "values", "items", "copy")
+MUTATORS = ("append", "add", "extend", "insert", "update", "setdefault", "appendleft", "put")
+
+
+def consumer(node: ast.Call, parents: dict) -> dict:
+    """Where the value of a call goes first: a function's parameter, a container, a test, a loop, a result or a name."""
+    parent, child = parents.get(node), node
+    while isinstance(parent, (ast.Await, ast.Starred, ast.NamedExpr, ast.keyword)) and not isinstance(parent, ast.keyword):
+        parent, child = parents.get(parent), parent
+    out = {"kind": "use", "binding": "", "consumer": "", "position": -1, "keyword": ""}
+    if isinstance(parent, ast.keyword):
+        holder = parents.get(parent)
+        if isinstance(holder, ast.Call):
+            return out | {"kind": "argument", "consumer": call_name(holder), "keyword": parent.arg or "**"}
+    if isinstance(parent, ast.Call) and child in parent.args:
+        name = call_name(parent)
+        if name in MUTATORS and isinstance(parent.func, ast.Attribute):
+            return out | {"kind": "container", "binding": ast.unparse(parent.func.value), "consumer": name}
+        return out | {"kind": "argument", "consumer": name, "position": parent.args.index(child) if not any(isinstance(a, ast.Starred) for a in parent.args) else -1}
+    if isinstance(parent, (ast.Assign, ast.AnnAssign)):
+        bound = targets(parent)
+        return out | {"kind": "container" if any("[" in t or "." in t for t in bound) else "assign", "binding": ",".join(bound)}
+    if isinstance(parent, ast.Return):
+        return out | {"kind": "return"}
+    if isinstance(parent, (ast.List, ast.Tuple, ast.Set, ast.Dict)):
+        return out | {"kind": "container", "binding": type(parent).__name__.lower()}
+    if isinstance(parent, (ast.If, ast.While, ast.Assert, ast.Compare, ast.BoolOp, ast.UnaryOp, ast.IfExp)):
+        return out | {"kind": "test"}
+    if isinstance(parent, (ast.For, ast.AsyncFor, ast.comprehension)):
+        return out | {"kind": "iterate"}
+    if isinstance(parent, ast.Expr):
+        return out | {"kind": "ignored"}
+    return out
+
+
+def fields_of(node: ast.ClassDef) -> list[str]:
+    """What a class takes when it is made, in order: the parameters of its own __init__, else its annotated fields."""
+    init = next((n for n in node.body if isinstance(n, FUNCTIONS) and n.name == "__init__"), None)
+    if init:
+        return [a.arg for a in init.args.args[1:]]
+    return [n.target.id for n in node.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name)]
+
+
+def later_uses(body: list[ast.stmt], name: str, line: int) -> list[str]:
+    """What first becomes of a name after a line: its test with where that leads, its return, its use in containers and calls, or its
+    being overwritten; three of these at most, in order."""
+    found = []
+    for n in _own(body):
+        at = getattr(n, "lineno", 0)
+        if at <= line:
+            continue
+        loads = lambda x: any(isinstance(y, (ast.Name, ast.Attribute)) and ast.unparse(y) == name for y in ast.walk(x)) if x is not None else False
+        if isinstance(n, (ast.If, ast.Assert)) and loads(n.test):
+            found.append((at, f"guard@{at}->{transfer(n.body) if isinstance(n, ast.If) else 'raise@' + str(at)}"))
+        elif isinstance(n, ast.Return) and loads(n.value):
+            found.append((at, f"return@{at}"))
+        elif isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and ast.unparse(n.func.value) == name and n.func.attr in READS:
+            found.append((at, f"read@{at}:{n.func.attr}"))
+        elif isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in MUTATORS and any(loads(a) for a in n.args):
+            found.append((at, f"stored@{at}:{ast.unparse(n.func.value)}"))
+        elif isinstance(n, ast.Call) and any(loads(a) for a in [*n.args, *(k.value for k in n.keywords)]):
+            found.append((at, f"{'persisted' if call_name(n) in SAVES else 'passed'}@{at}:{call_name(n)}"))
+        elif isinstance(n, (ast.For, ast.AsyncFor)) and loads(n.iter):
+            found.append((at, f"iterated@{at}"))
+        elif isinstance(n, ast.Assign) and name in targets(n):
+            found.append((at, f"overwritten@{at}"))
+    return [x for _, x in sorted(found)][:3]
+
+
+def branch_outcomes(body: list[ast.stmt]) -> list[str]:
+    """For each branch in a handler, where it leads."""
+    return [f"if {clip(ast.unparse(n.test), 60)}->{transfer(n.body)}" + (f" else->{transfer(n.orelse)}" if n.orelse else "") for n in _own(body) if isinstance(n, ast.If)][:4]
+
+
 def parse_file(path: str, text: str) -> dict[str, list]:
     """handlers, functions and calls of one file."""
     tree, lines = ast.parse(text), text.split("\n")
     parents = _parents(tree)
     src = lambda a, b: "\n".join(lines[a - 1 : b])
     many = lambda nodes: src(nodes[0].lineno, nodes[-1].end_lineno) if nodes else ""
-    out: dict[str, list] = {"handlers": [], "functions": [], "calls": []}
+    out: dict[str, list] = {"handlers": [], "functions": [], "calls": [], "classes": []}
     for node in ast.walk(tree):
         function = next((p for p in _up(node, parents) if isinstance(p, FUNCTIONS)), None)
         if isinstance(node, FUNCTIONS):
             scope = [p.name for p in _up(node, parents) if isinstance(p, (*FUNCTIONS, ast.ClassDef))]
-            out["functions"].append({"name": node.name, "start": node.lineno, "stop": node.end_lineno, "scope": ".".join(reversed(scope)), "params": [a.arg for a in node.args.args]})
+            out["functions"].append({"name": node.name, "start": node.lineno, "stop": node.end_lineno, "scope": ".".join(reversed(scope)), "params": [a.arg for a in node.args.args], "method": isinstance(parents.get(node), ast.ClassDef)})
         elif isinstance(node, ast.Call) and call_name(node):
-            parent = parents.get(node)
-            kind, bound = "use", ""
-            if isinstance(parent, (ast.Assign, ast.AnnAssign)):
-                kind, bound = "assign", ",".join(targets(parent))
-            elif isinstance(parent, ast.Return):
-                kind = "return"
-            guard = "none"
-            if bound and function:
-                later = [n for n in _own(function.body) if isinstance(n, (ast.If, ast.Assert)) and n.lineno > node.lineno and bound in {ast.unparse(x) for x in ast.walk(n.test)}]
-                if later:
-                    inner = later[0].body if isinstance(later[0], ast.If) else []
-                    guard = f"guard@{later[0].lineno}->{transfer(inner)}"
-            out["calls"].append({"name": call_name(node), "line": node.lineno, "caller": function.name if function else "<module>", "binding": bound, "kind": kind, "guard": guard})
+            goes = consumer(node, parents)
+            uses = later_uses(function.body, goes["binding"], node.lineno) if goes["kind"] == "assign" and function else []
+            inside = [p.name for p in _up(node, parents) if isinstance(p, FUNCTIONS)]
+            out["calls"].append({"name": call_name(node), "line": node.lineno, "caller": inside[0] if inside else "<module>", **goes, "guard": next((u for u in uses if u.startswith("guard")), "none"), "uses": " ".join(uses)})
+        elif isinstance(node, ast.ClassDef):
+            out["classes"].append({"name": node.name, "start": node.lineno, "params": fields_of(node)})
         elif isinstance(node, (ast.Try, ast.TryStar)):
             scope = [p.name for p in _up(node, parents) if isinstance(p, (*FUNCTIONS, ast.ClassDef))]
             block = next((b for b in (getattr(parents.get(node), f, None) for f in ("body", "orelse", "finalbody")) if isinstance(b, list) and node in b), [])
@@ -131,6 +207,9 @@ def parse_file(path: str, text: str) -> dict[str, list]:
             before = [(n.lineno, t) for n in (_own(function.body) if function else ()) if isinstance(n, ast.stmt) and n.lineno < node.lineno for t in targets(n) if t in tracked]
             for h in node.handlers:
                 own = list(_own(h.body))
+                mutated = [ast.unparse(n.func.value) for n in own if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in MUTATORS]
+                keys = sorted({*tracked, *(t for n in own for t in targets(n)), *mutated})
+                reads = {t: later_uses(function.body, t, h.end_lineno) for t in keys} if function else {}
                 values = {t: sentinel(n.value) for n in own if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in targets(n) if sentinel(n.value)}
                 back = [sentinel(n.value) for n in own if isinstance(n, ast.Return) and sentinel(n.value)]
                 names = [call_name(n) for n in own if isinstance(n, ast.Call)]
@@ -142,8 +221,8 @@ def parse_file(path: str, text: str) -> dict[str, list]:
                     {
                         "start": h.lineno, "stop": h.end_lineno, "scope": ".".join(reversed(scope)) or "<module>", "function": function.name if function else "", "caught": ast.unparse(h.type) if h.type else "<bare>",
                         "operation": clip(many(node.body), 700), "handler": clip(src(h.lineno, h.end_lineno), 700), "downstream": clip(many(after), 400), "function_returns": " | ".join(returns[:6]),
-                        "transfer": flow, "exits": exits(h.body), "branches": sum(isinstance(n, ast.If) for n in own), "omission": left_out,
-                        "dataflow": json.dumps({"tracked": tracked, "pre_try_writes": before[-4:]}), "sentinels": json.dumps({"assigned": values, "returned": back}, sort_keys=True),
+                        "transfer": flow, "exits": exits(h.body), "branches": sum(isinstance(n, ast.If) for n in own), "outcomes": "; ".join(branch_outcomes(h.body)), "omission": left_out, "context": clip(src(max(1, node.lineno - 3), node.lineno - 1), 200),
+                        "dataflow": json.dumps({"tracked": keys, "pre_try_writes": before[-4:], "mutated": mutated[:4], "post_handler_reads": {t: u for t, u in reads.items() if u}}), "sentinels": json.dumps({"assigned": values, "returned": back}, sort_keys=True),
                         "hints": json.dumps({"calls": names[:6], "persistence": [c for c in names if c in SAVES][:4]}),
                     }
                 )
@@ -151,9 +230,10 @@ def parse_file(path: str, text: str) -> dict[str, list]:
 
 
 KINDS = {
-    "handlers": "start int, stop int, scope string, function string, caught string, operation string, handler string, downstream string, function_returns string, transfer string, exits boolean, branches int, omission string, dataflow string, sentinels string, hints string",
-    "functions": "name string, start int, stop int, scope string, params array<string>",
-    "calls": "name string, line int, caller string, binding string, kind string, guard string",
+    "handlers": "start int, stop int, scope string, function string, caught string, operation string, handler string, downstream string, function_returns string, transfer string, exits boolean, branches int, outcomes string, omission string, context string, dataflow string, sentinels string, hints string",
+    "functions": "name string, start int, stop int, scope string, params array<string>, method boolean",
+    "calls": "name string, line int, caller string, binding string, kind string, consumer string, position int, keyword string, guard string, uses string",
+    "classes": "name string, start int, params array<string>",
 }
 
 
@@ -193,19 +273,68 @@ def discover(facts: DataFrame) -> DataFrame:
     return h.select(F.format_string("%s:%d-%d", "path", "start", "stop").alias("id"), F.substring(text, 1, CANDIDATE_CHARS).alias("text"), F.col("path").alias("source"), F.col("start").alias("line"))
 
 
+def takers(facts: DataFrame) -> DataFrame:
+    """(name, taker, params): what a call by a name fills, parameters without self or a class's fields, where exactly one definition
+    in all files has the name."""
+    f = rows_of(facts, "functions").select("name", F.lit("param").alias("taker"), F.when(F.col("method") & F.element_at("params", 1).isin("self", "cls"), F.expr("slice(params, 2, greatest(size(params) - 1, 0))")).otherwise(F.col("params")).alias("params"))
+    c = rows_of(facts, "classes").select("name", F.lit("field").alias("taker"), "params")
+    one = f.where(F.col("name") != "__init__").unionByName(c).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("taker").alias("taker"), F.first("params").alias("params"))
+    return one.where("n = 1").drop("n")
+
+
+def _sites(calls: DataFrame, functions: DataFrame, wanted: DataFrame, takes: DataFrame, callers: int) -> DataFrame:
+    """(name, sites, resolved, at) for the function names ``wanted``: how many call sites there are outside of the function itself,
+    how many of all of them say what becomes of the value, and the first ``callers`` of them."""
+    own = functions.select("name", F.col("path").alias("_p"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    inside = (F.col("path") == F.col("_p")) & F.col("line").between(F.col("_a"), F.col("_b"))
+    rows = calls.join(wanted.select("name"), "name", "left_semi").join(own, "name", "left").where(~F.coalesce(inside, F.lit(False))).drop("_p", "_a", "_b")
+    rows = rows.join(takes.select(F.col("name").alias("consumer"), "taker", "params"), "consumer", "left")
+    slot = F.when(F.col("keyword") != "", F.when(F.array_contains("params", F.col("keyword")), F.col("keyword"))).when(F.col("position") >= 0, F.get("params", F.col("position")))
+    rows = rows.withColumn("slot", F.when(slot.isNotNull(), F.concat_ws("", "taker", F.lit("="), "consumer", F.lit("."), slot)).otherwise(F.lit("")))
+    rows = rows.withColumn("resolved", (F.col("kind") == "return") | (F.col("kind") == "container") | (F.col("slot") != "") | (F.col("uses") != ""))
+    n = rows.groupBy("name").agg(F.count(F.lit(1)).alias("sites"), F.count_if("resolved").alias("resolved"))
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("path", "line", "caller", "binding"))).where(F.col("_r") <= callers)  # top rows are taken before they shuffle
+    at = first.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("_r", F.col("path").alias("p"), "line", "caller", "binding", "kind", "slot", "uses"))).alias("at"))
+    return n.join(at, "name")
+
+
+def _edges(function: Column, at: Column, number: int) -> Column:
+    where = lambda c: F.concat(F.lit(f"edge{number}="), function, F.lit("->"), c["caller"], F.lit(" "), c["kind"], F.when(c["binding"] != "", F.concat(F.lit(" binding="), c["binding"])).otherwise(""), F.when(c["slot"] != "", F.concat(F.lit(" "), c["slot"])).otherwise(""), F.when(c["uses"] != "", F.concat(F.lit(" "), c["uses"])).otherwise(""))
+    return F.array_join(F.transform(at, where), "; ")
+
+
+def _flow(function: Column, prefix: str, number: int, callers: int) -> Column:
+    definitions, sites, resolved, at = (F.col(f"{prefix}{x}") for x in ("definitions", "sites", "resolved", "at"))
+    return (
+        F.when(definitions > 1, F.concat(F.lit("terminal=ambiguous definitions="), definitions.cast("string")))
+        .when(definitions.isNull() | at.isNull(), F.lit("terminal=unknown"))
+        .when(sites > callers, F.concat(F.lit("terminal=unknown sites="), sites.cast("string")))
+        .otherwise(F.concat(F.lit("return_fanout="), sites.cast("string"), F.lit(" resolved="), resolved.cast("string"), F.lit(" unresolved="), (sites - resolved).cast("string"), F.lit(" "), _edges(function, at, number)))
+    )
+
+
 def evidence(facts: DataFrame, detail: str = "standard", callers: int = 8) -> DataFrame:
-    """(id, source, evidence) for every handler. Callers are call sites of a function with a single definition; beyond ``callers``
-    sites the return is called unresolved. Expanded evidence adds data flow, sentinels and control flow."""
+    """(id, source, evidence) for every handler. Callers are call sites of a function with a single definition, those in the function
+    itself left out; beyond ``callers`` sites the return is called unresolved. A single caller that returns the value is followed to
+    its own call sites. Expanded evidence adds data flow, sentinels and control flow."""
     h = rows_of(facts, "handlers")
-    single = rows_of(facts, "functions").groupBy("name").agg(F.count(F.lit(1)).alias("definitions"))
-    sites = rows_of(facts, "calls").groupBy("name").agg(F.count(F.lit(1)).alias("sites"), F.slice(F.sort_array(F.collect_list(F.struct(F.col("path").alias("p"), "line", "caller", "binding", "kind", "guard"))), 1, callers).alias("at"))
-    joined = h.join(single, h["function"] == single["name"], "left").drop("name").join(sites, h["function"] == sites["name"], "left").drop("name")
-    known = (F.col("definitions") == 1) & F.col("at").isNotNull()
-    edges = F.array_join(F.transform("at", lambda c: F.concat(F.lit("edge1="), F.col("function"), F.lit("->"), c["caller"], F.lit(" binding=return->"), F.coalesce(c["binding"], F.lit("")), F.lit(" "), c["kind"], F.lit(" "), c["guard"])), "; ")
-    resolved = F.size(F.filter("at", lambda c: (c["kind"] != "use") | (c["guard"] != "none")))
-    flow = F.when(~F.coalesce(known, F.lit(False)), "terminal=unknown").when(F.col("sites") > callers, F.concat(F.lit("terminal=unknown sites="), F.col("sites").cast("string"))).otherwise(F.concat(F.lit("return_fanout="), F.col("sites").cast("string"), F.lit(" resolved="), resolved.cast("string"), F.lit(" unresolved="), (F.col("sites") - resolved).cast("string"), F.lit(" "), edges))
-    base = [("id", F.format_string("%s:%d-%d", "path", "start", "stop")), ("scope", F.col("scope")), ("caught", F.col("caught")), ("operation", F.col("operation")), ("handler", F.col("handler")), ("downstream", F.col("downstream")), ("function_returns", F.col("function_returns")), ("callers", F.coalesce(F.array_join(F.transform(F.slice("at", 1, 4 if detail == "expanded" else 2), lambda c: F.concat(c["p"], F.lit(":"), c["line"].cast("string"))), ", "), F.lit("")))]
-    control = F.concat(F.lit("branches="), F.col("branches").cast("string"), F.lit(" first="), "transfer", F.lit(" fallthrough="), F.when(F.col("exits"), "no").otherwise("yes"), F.when(F.col("omission") != "", F.concat(F.lit(" "), F.col("omission"))).otherwise(""))
+    functions, calls, takes = rows_of(facts, "functions"), rows_of(facts, "calls"), takers(facts)
+    defined = functions.groupBy("name").agg(F.count(F.lit(1)).alias("definitions"))
+    single = defined.where("definitions = 1")
+    asked = h.where("function <> ''").select(F.col("function").alias("name")).distinct().join(single, "name", "left_semi")
+    first = _sites(calls, functions, asked, takes, callers)
+    joined = h.join(defined, h["function"] == defined["name"], "left").drop("name").join(first, h["function"] == first["name"], "left").drop("name")
+    passing = F.filter("at", lambda c: (c["kind"] == "return") & (c["caller"] != "<module>"))
+    joined = joined.withColumn("onward", F.when((F.size("at") == 1) & (F.size(passing) == 1), passing[0]["caller"]))
+    if detail == "expanded":
+        ways = joined.where("onward IS NOT NULL").select(F.col("onward").alias("name")).distinct().join(single, "name", "left_semi")
+        second = _sites(calls, functions, ways, takes, callers).select(F.col("name").alias("onward"), *[F.col(c).alias(f"next_{c}") for c in ("sites", "resolved", "at")])
+        joined = joined.join(defined.select(F.col("name").alias("onward"), F.col("definitions").alias("next_definitions")), "onward", "left").join(second, "onward", "left")
+        then = F.when(F.col("onward").isNotNull(), F.concat(F.lit("; "), _flow(F.col("onward"), "next_", 2, callers))).otherwise("")
+        flow = F.concat(_flow(F.col("function"), "", 1, callers), then)
+    shown = F.coalesce(F.array_join(F.transform(F.slice("at", 1, 4 if detail == "expanded" else 2), lambda c: F.concat(c["p"], F.lit(":"), c["line"].cast("string"))), ", "), F.lit(""))
+    base = [("id", F.format_string("%s:%d-%d", "path", "start", "stop")), *((c, F.col(c)) for c in ("scope", "caught", "context", "operation", "handler", "downstream", "function_returns")), ("callers", shown)]
+    control = F.concat(F.lit("branches="), F.col("branches").cast("string"), F.lit(" first="), "transfer", F.lit(" fallthrough="), F.when(F.col("exits"), "no").otherwise("yes"), F.when(F.col("omission") != "", F.concat(F.lit(" "), F.col("omission"))).otherwise(""), F.when(F.col("outcomes") != "", F.concat(F.lit(" "), F.col("outcomes"))).otherwise(""))
     inside = F.col("function") != ""
     if detail == "expanded":
         base += [("dataflow", F.when(inside, F.col("dataflow")).otherwise("")), ("semantic_hints", F.when(inside, F.col("hints")).otherwise("")), ("sentinel_handling", F.when(inside, F.col("sentinels")).otherwise("")), ("interprocedural_flow", F.when(inside, flow).otherwise("")), ("handler_control_flow", control)]
