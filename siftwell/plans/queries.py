@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import contracts
 from siftwell.functions.contracts import Pattern, Source, thresholds
-from siftwell.operators import classify, discovery, evidence, redaction, review
-from siftwell.sources import python_handlers, tree
+from siftwell.operators import backends, classify, discovery, evidence, redaction, review, tables
+from siftwell.sources import providers, python_handlers, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -237,6 +237,40 @@ def pages_screen(spark, sf_dir):
     return classify.screen(rows, classify.hash_scorer(PRIMARY), ASYM).select("id", "bucket", "probability")
 
 
+# -- the same screen by a Python function, and by a session over files
+
+
+@query(_SCORED + "SELECT ord, id, bucket, probability, NULL::VARCHAR AS reason, NULL::VARCHAR AS message FROM out")
+def screen_python_backend(spark, sf_dir):
+    def call(question: str, text: str) -> float:
+        import hashlib
+
+        id_, _, body = text.partition("\x1f")
+        return int(hashlib.md5(f"{PRIMARY}|{id_}|{body}".encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) / 4294967296.0
+
+    items = _redacted(_items(spark, sf_dir)).select("ord", "id", F.concat("id", F.lit("\x1f"), "text").alias("text"))
+    stage = contracts.Stage("q", contracts.YES, contracts.NO, ASYM)
+    return backends.screened(items, backends.PythonBackend(call), stage, backends.Model("python", "md5"))
+
+
+@query("SELECT user_id, min_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def first_per(spark, sf_dir):
+    return classify.first_per(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@query("SELECT doc_id AS id, CASE WHEN a < r AND b < a THEN 'both' WHEN a < r THEN 'adapter_bounds' WHEN b < a THEN 'token_budget' ELSE 'none' END AS reason FROM (SELECT doc_id, doc_id % 7 AS r, least(doc_id % 7, doc_id % 5) AS a, least(doc_id % 7, doc_id % 5, doc_id % 3) AS b FROM documents)")
+def trim_reasons(spark, sf_dir):
+    k = lambda n: F.col("doc_id") % n
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), evidence.trim_reason(k(7), F.least(k(7), k(5)), F.least(k(7), k(5), k(3))).alias("reason"))
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, CASE event_type WHEN 'purchase' THEN 'CONFIRM' WHEN 'error' THEN 'INSUFFICIENT_EVIDENCE' ELSE 'REJECT' END AS disposition, count(*) AS n FROM events GROUP BY ALL")
+def windowed_dispositions(spark, sf_dir):
+    from siftwell.streaming import reviews
+
+    return reviews.windowed_dispositions(_decisions(spark, sf_dir)).select(F.col("window.start").cast("date").alias("day"), "disposition", "n")
+
+
 # -- the score cache: the second snapshot differs where doc_id % 10 = 0
 
 _SECOND = "SELECT doc_id, doc_id::VARCHAR AS id, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' edited' ELSE coalesce(text, '') END AS text FROM documents"
@@ -410,6 +444,83 @@ def evidence_expanded(spark, sf_dir):
     return _evidence(spark, sf_dir, "expanded")
 
 
+# -- providers and sessions over the table read as files
+
+AUDIT = contracts.Preset("audit", "audit", "", "generic-source", Source(("docs/**",), (), (), MATCH.patterns, MATCH.snippet, MATCH.standard, MATCH.expanded, contracts.Limits(100_000, 20_000_000, 1_000_000)), contracts.Stage("is this a credential?", contracts.YES, contracts.NO, ASYM), contracts.Stage("does it leave the file?", contracts.YES, contracts.NO, REFINED))
+_CANDIDATE_ID = "'gs:match-1:' || source || ':' || line || ':' || \"column\" || ':' || " + _hash_sql("'match-1' || chr(0) || match_text")
+_CANDIDATES = f"{_MATCH_SQL}, c AS (SELECT {_CANDIDATE_ID} AS id, source, off, line, \"column\" AS col, match_text, lines, array_to_string(['source=' || source, 'pattern=credential', 'location=' || line || ':' || \"column\", {_window_sql(MATCH.snippet)}], chr(10)) AS text FROM f)"
+_CANDIDATES_RED = f"{_CANDIDATES}, {_redaction_ctes('SELECT id AS key, text FROM c')}"
+
+
+def _stage_p(stage: contracts.Stage, key: str = "key") -> str:
+    return _p(classify.contract_of(stage).replace("'", "''"), key)
+
+
+@query(f"{_CANDIDATES} SELECT id, CAST(row_number() OVER (ORDER BY source, off, id) - 1 AS BIGINT) AS ord, md5(text) AS text_md5 FROM c")
+def candidate_order(spark, sf_dir):
+    found = providers.GenericProvider(AUDIT.source).discover(spark, _files(spark, sf_dir).select("source", "text"))
+    return found.select("id", F.col("ord").cast("long").alias("ord"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_AUDITED = f"{_CANDIDATES_RED}, audited AS (SELECT key AS id, {_stage_p(AUDIT.primary)} AS p, n FROM red), o AS (SELECT id, {_bucket(ASYM)} AS bucket, p, n FROM audited)"
+
+
+def _session(spark, sf_dir):
+    from siftwell.plans.session import Session
+
+    s = Session(spark)
+    return s, s.primary(AUDIT, _files(spark, sf_dir).select("source", "text"), confirm=True, defer_review=True)
+
+
+@query(
+    f"""{_AUDITED} SELECT o.id, CASE bucket WHEN 'kept' THEN 'KEEP' WHEN 'dropped' THEN 'DROP' ELSE 'UNDECIDED' END AS label, CASE bucket WHEN 'kept' THEN p WHEN 'dropped' THEN 1::DOUBLE - p END AS confidence,
+CASE bucket WHEN 'kept' THEN printf('keepProbability %.6f >= keep threshold {ASYM.keep:.6f}', p) WHEN 'dropped' THEN printf('keepProbability %.6f <= drop threshold {ASYM.drop:.6f}', p) ELSE printf('keepProbability %.6f is between drop threshold {ASYM.drop:.6f} and keep threshold {ASYM.keep:.6f}', p) END AS reason,
+c.source, c.line, c.col AS "column" FROM o JOIN c USING (id)"""
+)
+def session_manifest(spark, sf_dir):
+    s, run = _session(spark, sf_dir)
+    found = s.runs[run]
+    return classify.manifest(found.outcomes, ASYM, candidates=found.candidates).drop("ord")
+
+
+@query(f"{_AUDITED} SELECT count(*) AS total, CAST(count(*) FILTER (bucket = 'kept') AS BIGINT) AS kept, CAST(count(*) FILTER (bucket = 'dropped') AS BIGINT) AS dropped, CAST(count(*) FILTER (n > 0) AS BIGINT) AS redaction_items, CAST(coalesce(sum(n), 0) AS BIGINT) AS redaction_count, count(*) AS evaluated, 'ok' AS status FROM o")
+def session_summary(spark, sf_dir):
+    s, run = _session(spark, sf_dir)
+    n = s.summary(s.runs[run].primary) | {"evaluated": s.runs[run].primary.evaluated}
+    names = ("total", "kept", "dropped", "redaction_items", "redaction_count", "evaluated", "status")
+    return spark.createDataFrame([tuple(n[x] for x in names)], ", ".join(f"{x} {'string' if x == 'status' else 'long'}" for x in names))
+
+
+@query(f"{_AUDITED}, again AS (SELECT {_bucket(REFINED, _stage_p(AUDIT.refinement, 'red.key').replace(', text)', ', red.text)'))} AS b FROM red JOIN o ON o.id = red.key WHERE o.bucket <> 'dropped'), m AS (SELECT count(*) AS retained, CAST(count(*) FILTER (b = 'dropped') AS BIGINT) AS dropped FROM again) SELECT retained, dropped, CASE WHEN retained > 0 THEN dropped / retained::DOUBLE ELSE 0 END AS yield, CASE WHEN retained > 0 THEN dropped / retained::DOUBLE ELSE 0 END < 0.3::DOUBLE AS low_yield FROM m")
+def session_refinement(spark, sf_dir):
+    s, run = _session(spark, sf_dir)
+    n = s.refine(run, confirm=True)
+    return spark.createDataFrame([(n["retained"], n["dropped"], n["yield"], n["low_yield"])], "retained long, dropped long, yield double, low_yield boolean")
+
+
+@query(f"{_AUDITED}, t AS (SELECT id, row_number() OVER (ORDER BY CASE bucket WHEN 'kept' THEN 0 ELSE 1 END, source, off, id) AS n FROM o JOIN c USING (id) WHERE bucket <> 'dropped') SELECT id, CAST(n - 1 AS BIGINT) AS ord FROM t")
+def session_review_targets(spark, sf_dir):
+    s, run = _session(spark, sf_dir)
+    return s.reviews[s.review_start(run)].targets.select(F.col("target").alias("id"), "ord")
+
+
+BOUNDS = contracts.Budget(10, 30, 5, 60_000, 20_000)
+
+
+@query(
+    f"""{_CANDIDATES}, a AS (SELECT *, array_to_string(['provider=generic-source', 'detail=expanded', 'pattern=credential', 'location=' || source || ':' || line || ':' || col, 'matched=' || to_json(match_text)::VARCHAR, {_window_sql(MATCH.expanded)}], chr(10)) AS evidence FROM c ORDER BY source DESC, off DESC, id DESC LIMIT 60),
+b AS (SELECT *, row_number() OVER w AS k, sum(length(evidence)) OVER w AS chars, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY off DESC, id DESC) = 1 THEN 1 ELSE 0 END AS new FROM a WINDOW w AS (ORDER BY source DESC, off DESC, id DESC)),
+d AS (SELECT *, sum(new) OVER (ORDER BY k) AS sources FROM b) SELECT id, source, md5(evidence) AS evidence_md5, CAST(k - 1 AS INTEGER) AS ord FROM d WHERE k <= 30 AND chars <= 60000 AND sources <= 5"""
+)
+def evidence_by_ids(spark, sf_dir):
+    """Sixty ids are asked for, a request's most; the provider's bounds cut them."""
+    provider, files = providers.GenericProvider(AUDIT.source), _files(spark, sf_dir).select("source", "text")
+    ids = [r["id"] for r in provider.discover(spark, files).orderBy(F.desc("ord")).select("id").limit(60).collect()]
+    if not ids:
+        return spark.createDataFrame([], "id string, source string, evidence_md5 string, ord int")
+    return provider.evidence(spark, files, ids, BOUNDS, "expanded").select("id", "source", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"), "ord")
+
+
 # -- packets: each source's documents are one request
 
 PACK = contracts.Budget(max_items=20, max_sources=2, max_chars=20_000, max_tokens=3000, target_items=20)
@@ -430,6 +541,14 @@ def token_budget(spark, sf_dir):
     return evidence.packet_stats(evidence.token_bounded(_pack_in(spark, sf_dir), PACK, "packet"), "packet")
 
 
+CLIPPED = contracts.Budget(max_items=20, max_sources=2, max_chars=1000, target_items=20)
+
+
+@query("WITH i AS (SELECT source AS packet, doc_id AS ord, doc_id::VARCHAR AS id, lang AS source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, coalesce(text, '') AS text FROM documents), j AS (SELECT packet, ord, id, n, CASE WHEN n = 1 THEN left(text, 1000) ELSE text END AS evidence, CASE WHEN row_number() OVER (PARTITION BY packet, source ORDER BY ord) = 1 THEN 1 ELSE 0 END AS new FROM i), k AS (SELECT *, sum(new) OVER w AS s, sum(length(evidence)) OVER w AS c FROM j WINDOW w AS (PARTITION BY packet ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT packet, id, length(evidence) AS chars FROM k WHERE n <= 20 AND s <= 2 AND c <= 1000")
+def evidence_packing_clipped(spark, sf_dir):
+    return evidence.packed(_pack_in(spark, sf_dir), CLIPPED, "packet", clip_first=True).select("packet", "id", F.length("evidence").cast("long").alias("chars"))
+
+
 # -- review: events as decisions of users
 
 _DECIDE = "d AS (SELECT user_id AS target, CASE event_type WHEN 'purchase' THEN 'CONFIRM' WHEN 'error' THEN 'INSUFFICIENT_EVIDENCE' ELSE 'REJECT' END AS disposition, ts, event_id AS seq FROM events)"
@@ -531,14 +650,9 @@ def stability_summary(spark, sf_dir):
 
 @query(f"WITH {_STATE} SELECT target, state, final_disposition FROM state")
 def review_fold_stream(spark, sf_dir):
-    import tempfile
-
     from siftwell.streaming import reviews
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siftwell-")
-    import uuid
-
-    base = f"{shared.rstrip('/')}/siftwell/review-{uuid.uuid4().hex}"
+    base = tables.new_path(spark, "review")
     schema = _table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     kind = F.when(F.col("event_type") == "purchase", "CONFIRM").when(F.col("event_type") == "error", review.MORE).otherwise("REJECT")

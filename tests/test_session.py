@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import contracts as C
 from siftwell.operators import backends, classify, review, tables
 from siftwell.plans.session import Session, trimmed
-from siftwell.sources import providers, python_handlers
+from siftwell.sources import providers, python_handlers, tree
 
 STAGE = C.Stage("q?", C.YES, C.NO, C.thresholds(0.7))
 PROGRAM = """
@@ -230,3 +230,23 @@ def test_ranked_and_packets(spark):
     for detail in ("standard", "expanded"):
         mine = sorted((p["packet"], p["n"], p["a"], p["b"]) for p in packs if p["detail"] == detail)
         assert [p[0] for p in mine] == list(range(len(mine))) and all(p[1] == 7 for p in mine[:-1]) and all(x[3] < y[2] for x, y in zip(mine, mine[1:]))
+
+
+def test_files_by_path_and_uri(spark, tmp_path):
+    for name, text in (("b.txt", "x\r\ny"), ("a/c.txt", "é"), ("a/.h.txt", "z"), ("skip/d.txt", "no"), ("a/e.md", "no"), ("b/_f.txt", "")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "link.txt").symlink_to(tmp_path / "b.txt")
+    source = C.Source(("**/*.txt",), skip_dirs=("skip",))
+    for scope in (str(tmp_path), f"file://{tmp_path}"):
+        assert tree.list_files(scope, source) == ["a/.h.txt", "a/c.txt", "b/_f.txt", "b.txt"]
+        assert {r["source"]: r["text"] for r in tree.read_tree(spark, scope, source).collect()} == {"a/.h.txt": "z", "a/c.txt": "é", "b/_f.txt": "", "b.txt": "x\r\ny"}
+    assert [tuple(r) for r in tree.read_tree(spark, str(tmp_path / "b.txt"), source).collect()] == [("b.txt", "x\r\ny")]
+    with pytest.raises(C.ContractError):
+        tree.list_files(str(tmp_path / "none"), source)
+    with pytest.raises(C.ContractError):
+        tree.list_files(str(tmp_path), C.Source(("**/*.txt",), limits=C.Limits(files=2)))
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    s = Session(spark)
+    preset = C.parse_preset({"id": "t", "source": {"include": "**/*.txt", "find": "x"}, "question": "q?"})
+    assert s.discover(preset, str(tmp_path)).status == "error" and s.discover(preset, str(tmp_path / "none")).status == "error"
