@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 FIT_DOCS, WORDS, GRAMS, GRAM, LANGS = 20_000, 20_000, 10_000, 4, 256
-SMOOTHING, CACHED, CELLS, CACHED_CHARS = 0.5, 100_000, 1 << 20, 48
+SMOOTHING, CACHED, CELLS, CACHED_CHARS = 0.5, 300_000, 1 << 21, 48
 #: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its floor.
 BACK, UNSEEN, FLOOR_DOCS = -0.9, -20.0, 200
 PIECE, LONG = 1 << 15, "#"
