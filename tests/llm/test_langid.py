@@ -60,3 +60,52 @@ def test_the_score_is_not_saturated_and_memory_is_bounded(monkeypatch):
     for k in range(50):
         scorer.predict([f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" + " w" * k])
     assert len(scorer.index) <= 22 and len(scorer.table) <= 256
+
+
+def test_predictions_against_loops(spark):
+    """Word-first backoff in plain loops over a few documents."""
+    import math
+    import re
+    from collections import Counter
+
+    r = random.Random(13)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 30)))
+    rows = [(i, make("abcde" if i % 2 else "cdefg"), "xa" if i % 2 else "xb") for i in range(60)] + [(90, "zz qq", None), (91, None, "xa"), (92, "7 8", "xb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in langid.identified(docs).collect()}
+    import zlib
+
+    words, grams = {"xa": Counter(), "xb": Counter()}, {"xa": Counter(), "xb": Counter()}
+    find = re.compile(r"[^\W\d_]+").findall
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in find((t or "").lower()):
+                words[lang][w] += 1
+                f = f"^{w}$"
+                grams[lang].update(f[a : a + k] for a in range(len(f)) for k in range(1, 5) if a + k <= len(f))
+                # near the end the slices are shorter, and count again
+                grams[lang].update(f[a : a + k] for a in range(len(f)) for k in range(1, 5) if a + k > len(f))
+
+    def log(counts, item, lang):
+        known = set(counts["xa"]) | set(counts["xb"])
+        return math.log((counts[lang][item] + 0.5) / (sum(counts[lang].values()) + 0.5 * len(known)))
+
+    def score(w, lang):
+        if w in words["xa"] or w in words["xb"]:
+            return log(words, w, lang)
+        f, total = f"^{w}$", 0.0
+        for a in range(len(f)):
+            k = next((k for k in range(min(4, len(f) - a), 0, -1) if f[a : a + k] in grams["xa"] or f[a : a + k] in grams["xb"]), 0)
+            total += log(grams, f[a : a + k], lang) if k else -20.0
+        return total / len(f)
+
+    for i, t, _ in rows:
+        found = find((t or "").lower())
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not found:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        means = {lang: sum(score(w, lang) for w in found) / len(found) for lang in words}
+        best = max(sorted(means), key=means.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(math.exp(m - means[best]) for m in means.values())) < 1e-9

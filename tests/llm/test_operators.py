@@ -477,6 +477,13 @@ def test_sharding_laws(spark, docs, empty, sf_dir):
         for t in texts:
             groups[t] += len((t or "").encode()) + 16
         assert max(load.values()) <= sum(load.values()) / 40 + max(groups.values())
+        first = {}
+        for r in table.collect():
+            i = -(1 << 63) if r["doc_id"] is None else r["doc_id"]
+            first[r["text"]] = min(i, first.get(r["text"], i))
+        digest = lambda t: "null" if t is None else hashlib.sha256(t.encode()).hexdigest()
+        ordered = [groups[t] for t in sorted(first, key=lambda t: (first[t], digest(t)))]
+        assert max(load.values()) == brute_capacity(ordered, 40)
     for law in (sharding.by_bytes, sharding.by_rows, sharding.by_key):
         assert law(empty).count() == 0
 
