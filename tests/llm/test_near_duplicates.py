@@ -116,3 +116,16 @@ def test_nulls_ties_and_tables_left(spark):
     shared.release(table)
     with pytest.raises(Exception, match="(?i)not.exist|no such file"):
         table.count()
+
+
+def test_fingerprints_have_classes(spark):
+    rows = [(i, t) for i, t in planted() if t is None or not any(c.isupper() for c in t)] + [(None, "a b"), (None, "alone"), (3, "more of 3")]
+    got = minhash.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    want = brute_classes([(i, t) for i, t in rows if i is not None and t != "more of 3"])
+    assert {x["doc_id"]: x["class_id"] for x in got if x["doc_id"] is not None} == want
+    short = next(i for i, t in rows if t == "a b")
+    assert sorted(str(x["class_id"]) for x in got if x["doc_id"] is None) == sorted([str(want[short]), "None"])
+    texts = ["", "é\U0001f642", "x" * 100_000]
+    back = shared.packed(spark.createDataFrame([(t,) for t in [*texts, None]], "text string")).collect()
+    assert [r["text"] and shared.unpacked(bytes(r["text"])) for r in back] == [*texts, None]
