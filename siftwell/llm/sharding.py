@@ -78,15 +78,13 @@ def minimax_cuts(sums: DataFrame, total: int, largest: int, shards: int, known:
     stretches = [(0, total)]
     for _ in range(64):
         per = max(2, known // max(1, len(stretches)))
-        wanted = F.lit(False)
+        wanted = []
         for a, b in stretches:
             width = max(1, -(-(b - a) // per))
-            inside = (F.col("upto") > a) & (F.col("upto") <= b)
             # the last sum of each cell of a grid over the stretch
-            grid = F.expr(f"(upto - {a}) div {width}") if width > 1 else None
-            first = F.expr(f"(greatest(upto - size, {a}) - {a}) div {width}") if width > 1 else None
-            wanted = wanted | (inside if width == 1 else inside & (grid != first))
-        found = sorted({r[0] for r in sums.where(wanted).select("upto").collect()})  # at most ``known`` of them
+            grid = f" AND (upto - {a}) div {width} <> (greatest(upto - size, {a}) - {a}) div {width}" if width > 1 else ""
+            wanted.append(f"(upto > {a} AND upto <= {b}{grid})")
+        found = sorted({r[0] for r in sums.where(" OR ".join(wanted)).select("upto").collect()})  # at most ``known`` of them
         if set(found) <= set(places.known) and any(b - a > per for a, b in stretches):
             known *= 2  # so coarse a grid finds nothing new, which only a count well below the square of the shards can bring about
         places.learn(found, [(a, b, b - a <= per) for a, b in stretches])
