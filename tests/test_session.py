@@ -250,3 +250,24 @@ def test_files_by_path_and_uri(spark, tmp_path):
     s = Session(spark)
     preset = C.parse_preset({"id": "t", "source": {"include": "**/*.txt", "find": "x"}, "question": "q?"})
     assert s.discover(preset, str(tmp_path)).status == "error" and s.discover(preset, str(tmp_path / "none")).status == "error"
+
+
+def test_whole_results(spark):
+    from siftwell.plans.result_cache import ResultCache
+
+    cache, calls, model = ResultCache(2), [], backends.Model("p", "m")
+    table = lambda *texts: spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "ord long, id string, text string")
+
+    def run(p):
+        def made():
+            calls.append(p)
+            return classify.screen(table("x"), classify.lookup_scorer({"0": p}), STAGE.thresholds)
+
+        return made
+
+    ask = lambda items, p, **k: (lambda out: (out[0].first()["probability"], out[1]))(cache.screened(items, STAGE, model, run(p), **k))
+    assert ask(table("x"), 0.91) == (0.91, False) and ask(table("x"), 0.73) == (0.91, True)
+    assert ask(table("x"), 0.73, rescreen=True) == (0.73, False) and ask(table("x"), 0.5) == (0.73, True)
+    assert ask(table("x"), 0.5, confirm=True) == (0.5, False) and ask(table("y"), 0.8) == (0.8, False)
+    assert ask(table("x"), 0.6) == (0.6, False)  # two others came since
+    assert ask(table("z"), "error")[1] is False and ask(table("z"), 0.9) == (0.9, False)  # errors aren't kept
