@@ -105,7 +105,117 @@ def parse_id(name: str) -> tuple[str, int, int]:
 
 
 READS = ("get", "pop", "setdefault", "keys", "values", "items", "copy")
-MUTATORS = ("append", "add", "extend", "insert", "update", "setdefault", "appendleft", "put")
+MUTATORS = ("append", "add", "extend", "insert", "update", "setdefault", "appendleft", "put", "clear", "remove", "discard", "pop")
+LOGGING = ("log", "debug", "info", "warning", "warn", "error", "exception", "critical", "print", "isinstance", "len", "str", "repr")
+
+
+def line_window(lines: list[str], line: int, radius: int, limit: int) -> str:
+    """The lines around one, clipped."""
+    return clip("\n".join(lines[max(0, line - 1 - radius) : line + radius]), limit)
+
+
+def expression_key(node: ast.AST | None) -> str:
+    """``a.b`` for names and attributes; of a subscript or call its base; else nothing."""
+    while isinstance(node, (ast.Subscript, ast.Starred, ast.Await)):
+        node = node.value
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        base = expression_key(node.value)
+        return f"{base}.{node.attr}" if base else ""
+    return ""
+
+
+def assigned_pairs(node: ast.AST) -> list[tuple[str, ast.AST | None]]:
+    """(key, value) of what a statement assigns; tuples pair up where both sides have them."""
+    if isinstance(node, ast.Assign):
+        sides = [(t, node.value) for t in node.targets]
+    elif isinstance(node, (ast.AnnAssign, ast.AugAssign, ast.NamedExpr)):
+        sides = [(node.target, node.value)]
+    elif isinstance(node, (ast.For, ast.AsyncFor)):
+        sides = [(node.target, None)]
+    elif isinstance(node, (ast.With, ast.AsyncWith)):
+        sides = [(i.optional_vars, None) for i in node.items if i.optional_vars]
+    else:
+        return []
+    out = []
+    while sides:
+        t, v = sides.pop(0)
+        if isinstance(t, (ast.Tuple, ast.List)):
+            values = v.elts if isinstance(v, (ast.Tuple, ast.List)) and len(v.elts) == len(t.elts) else [None] * len(t.elts)
+            sides = list(zip(t.elts, values)) + sides
+        elif key := expression_key(t):
+            out.append((key, v))
+    return out
+
+
+def mutated_keys(nodes: list[ast.AST]) -> list[str]:
+    """What methods that change their object in place are called on, and what is assigned to or deleted by subscript."""
+    found = [expression_key(n.func.value) for n in nodes if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in MUTATORS]
+    found += [expression_key(t) for n in nodes if isinstance(n, (ast.Assign, ast.AugAssign, ast.Delete)) for t in (n.targets if not isinstance(n, ast.AugAssign) else [n.target]) if isinstance(t, ast.Subscript)]
+    return list(dict.fromkeys(k for k in found if k))
+
+
+def assigned_keys(body: list[ast.stmt]) -> set[str]:
+    nodes = list(_own(body))
+    return {k for n in nodes for k, _ in assigned_pairs(n)} | set(mutated_keys(nodes))
+
+
+def loaded_keys(node: ast.AST) -> list[tuple[int, str]]:
+    """(line, key) of what is read, the longest key at each place."""
+    out = []
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, (ast.Name, ast.Attribute)) and isinstance(n.ctx, ast.Load) and (key := expression_key(n)):
+            out.append((n.lineno, key))
+        else:
+            stack.extend(ast.iter_child_nodes(n))
+    return sorted(out)
+
+
+def touches(key: str, tracked: set[str]) -> bool:
+    """Whether a key is tracked, or lies in or around a tracked one."""
+    return any(key == t or key.startswith(t + ".") or t.startswith(key + ".") for t in tracked)
+
+
+def later_reads(body: list[ast.stmt], tracked: set[str], line: int) -> list[tuple[int, str]]:
+    """The first eight reads of tracked keys after a line."""
+    return sorted({(at, k) for s in body for at, k in loaded_keys(s) if at > line and touches(k, tracked)})[:8]
+
+
+def semantic_hints(body: list[ast.stmt]) -> dict[str, list[str]]:
+    """Conditions, calls and calls that keep something, of a handler."""
+    nodes = sorted((n for n in _own(body) if hasattr(n, "lineno")), key=lambda n: (n.lineno, n.col_offset))
+    names = [call_name(n) for n in nodes if isinstance(n, ast.Call)]
+    return {"controls": [clip(ast.unparse(n.test), 80) for n in nodes if isinstance(n, (ast.If, ast.While, ast.Assert))][:5], "calls": names[:6], "persistence": [c for c in names if any(c == v or c.startswith(v + "_") for v in SAVES)][:4]}
+
+
+def sentinel_handling(function: ast.AST | None, node: ast.Try, handler: ast.ExceptHandler) -> str:
+    """For each value that stands for nothing: where it comes from (the handler's own wins over the last one before the try; a
+    container that is changed meanwhile is none), its first guard after the handler and its first other use."""
+    own = list(_own(handler.body))
+    found = {k: (f"handler@{n.lineno}", v) for n in own for k, value in assigned_pairs(n) if value is not None and (v := sentinel(value))}
+    if function:
+        changed = set(mutated_keys([*_own(node.body), *own]))
+        set_here = {k for n in own for k, _ in assigned_pairs(n)}
+        for n in sorted((n for n in _own(function.body) if isinstance(n, ast.stmt) and n.lineno < node.lineno), key=lambda n: n.lineno):
+            for k, value in assigned_pairs(n):
+                if k in changed or k in set_here or found.get(k, ("pre",))[0].startswith("handler"):
+                    continue
+                found.pop(k, None)
+                if value is not None and (v := sentinel(value)) and touches(k, assigned_keys(node.body)):
+                    found[k] = (f"pre_try@{n.lineno}", v)
+    parts = []
+    for k, (origin, value) in sorted(found.items()):
+        uses = later_uses(function.body, k, handler.end_lineno) if function else []
+        guard = next((u for u in uses if u.startswith("guard")), "none")
+        outward = next((u for u in uses if not u.startswith(("guard", "overwritten"))), "none")
+        parts.append(f"{k}={value} origin={origin} guard={guard} use={outward}")
+    for n in own:
+        if isinstance(n, ast.Return) and (v := sentinel(n.value)):
+            parts.append(f"return={v} origin=handler@{n.lineno}")
+    return clip("; ".join(parts), 900)
 
 
 def consumer(node: ast.Call, parents: dict) -> dict:
@@ -164,7 +274,7 @@ def later_uses(body: list[ast.stmt], name: str, line: int) -> list[str]:
             found.append((at, f"read@{at}:{n.func.attr}"))
         elif isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in MUTATORS and any(loads(a) for a in n.args):
             found.append((at, f"stored@{at}:{ast.unparse(n.func.value)}"))
-        elif isinstance(n, ast.Call) and any(loads(a) for a in [*n.args, *(k.value for k in n.keywords)]):
+        elif isinstance(n, ast.Call) and call_name(n) not in LOGGING and any(loads(a) for a in [*n.args, *(k.value for k in n.keywords)]):
             found.append((at, f"{'persisted' if call_name(n) in SAVES else 'passed'}@{at}:{call_name(n)}"))
         elif isinstance(n, (ast.For, ast.AsyncFor)) and loads(n.iter):
             found.append((at, f"iterated@{at}"))
@@ -203,16 +313,13 @@ def parse_file(path: str, text: str) -> dict[str, list]:
             after = block[block.index(node) + 1 :][:2] if node in block else []
             loop = next((p for p in _up(node, parents) if isinstance(p, (ast.For, ast.While, ast.AsyncFor, *FUNCTIONS))), None)
             returns = [clip(ast.unparse(n), 120) for n in _own(function.body) if isinstance(n, ast.Return)] if function else []
-            tracked = sorted({t for n in _own(node.body) for t in targets(n)})
-            before = [(n.lineno, t) for n in (_own(function.body) if function else ()) if isinstance(n, ast.stmt) and n.lineno < node.lineno for t in targets(n) if t in tracked]
+            written = assigned_keys(node.body)
+            before = [[n.lineno, k] for n in sorted((n for n in (_own(function.body) if function else ()) if isinstance(n, ast.stmt) and n.lineno < node.lineno), key=lambda n: n.lineno) for k, _ in assigned_pairs(n) if touches(k, written)]
             for h in node.handlers:
                 own = list(_own(h.body))
-                mutated = [ast.unparse(n.func.value) for n in own if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in MUTATORS]
-                keys = sorted({*tracked, *(t for n in own for t in targets(n)), *mutated})
-                reads = {t: later_uses(function.body, t, h.end_lineno) for t in keys} if function else {}
-                values = {t: sentinel(n.value) for n in own if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in targets(n) if sentinel(n.value)}
-                back = [sentinel(n.value) for n in own if isinstance(n, ast.Return) and sentinel(n.value)]
-                names = [call_name(n) for n in own if isinstance(n, ast.Call)]
+                keys = written | assigned_keys(h.body)
+                reads = later_reads(function.body, keys, h.end_lineno) if function else []
+                tracked = sorted(k for k in keys if any(touches(r, {k}) for _, r in reads)) or sorted(keys)
                 flow = transfer(h.body)
                 left_out = ""
                 if flow.startswith("continue") and isinstance(loop, (ast.For, ast.While, ast.AsyncFor)):
@@ -222,8 +329,8 @@ def parse_file(path: str, text: str) -> dict[str, list]:
                         "start": h.lineno, "stop": h.end_lineno, "scope": ".".join(reversed(scope)) or "<module>", "function": function.name if function else "", "caught": ast.unparse(h.type) if h.type else "<bare>",
                         "operation": clip(many(node.body), 700), "handler": clip(src(h.lineno, h.end_lineno), 700), "downstream": clip(many(after), 400), "function_returns": " | ".join(returns[:6]),
                         "transfer": flow, "exits": exits(h.body), "branches": sum(isinstance(n, ast.If) for n in own), "outcomes": "; ".join(branch_outcomes(h.body)), "omission": left_out, "context": clip(src(max(1, node.lineno - 3), node.lineno - 1), 200),
-                        "dataflow": json.dumps({"tracked": keys, "pre_try_writes": before[-4:], "mutated": mutated[:4], "post_handler_reads": {t: u for t, u in reads.items() if u}}), "sentinels": json.dumps({"assigned": values, "returned": back}, sort_keys=True),
-                        "hints": json.dumps({"calls": names[:6], "persistence": [c for c in names if c in SAVES][:4]}),
+                        "dataflow": json.dumps({"tracked": tracked, "pre_try_writes": before[-4:], "mutated": mutated_keys(own)[:4], "post_handler_reads": reads}),
+                        "sentinels": sentinel_handling(function, node, h), "hints": json.dumps(semantic_hints(h.body)),
                     }
                 )
     return out
@@ -303,13 +410,24 @@ def _edges(function: Column, at: Column, number: int) -> Column:
     return F.array_join(F.transform(at, where), "; ")
 
 
+#: What a use says of how the value ends, the first that applies.
+TERMINALS = (("raise@", "explicit_failure"), ("continue@", "iteration_omission"), ("break@", "loop_termination"), ("persisted@", "core_call"), ("passed@", "core_call"), ("return@", "normal_return"))
+
+
+def _terminal(at: Column) -> Column:
+    """How the value ends at the resolved sites: one kind if they agree."""
+    kind = lambda c: F.coalesce(*[F.when(F.contains(c["uses"], F.lit(mark)), name) for mark, name in TERMINALS], F.when(c["kind"] == "return", "normal_return"), F.when((c["slot"] != "") | (c["kind"] == "container"), "core_call"), F.lit("unknown"))
+    kinds = F.array_distinct(F.transform(at, kind))
+    return F.concat(F.lit(" terminal="), F.when(F.size(kinds) == 1, kinds[0]).otherwise(F.concat(F.lit("mixed:"), F.array_join(F.array_sort(kinds), "+"))))
+
+
 def _flow(function: Column, prefix: str, number: int, callers: int) -> Column:
     definitions, sites, resolved, at = (F.col(f"{prefix}{x}") for x in ("definitions", "sites", "resolved", "at"))
     return (
         F.when(definitions > 1, F.concat(F.lit("terminal=ambiguous definitions="), definitions.cast("string")))
         .when(definitions.isNull() | at.isNull(), F.lit("terminal=unknown"))
         .when(sites > callers, F.concat(F.lit("terminal=unknown sites="), sites.cast("string")))
-        .otherwise(F.concat(F.lit("return_fanout="), sites.cast("string"), F.lit(" resolved="), resolved.cast("string"), F.lit(" unresolved="), (sites - resolved).cast("string"), F.lit(" "), _edges(function, at, number)))
+        .otherwise(F.concat(F.lit("return_fanout="), sites.cast("string"), F.lit(" resolved="), resolved.cast("string"), F.lit(" unresolved="), (sites - resolved).cast("string"), F.lit(" "), _edges(function, at, number), _terminal(at)))
     )
 
 

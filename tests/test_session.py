@@ -1,5 +1,8 @@
 """Providers, backends, evidence by ids and reviews against literal expectations."""
 
+import ast
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,21 +64,59 @@ def test_handler_evidence(spark, programs):
     rows = {r["id"]: lines_of(r["evidence"]) for r in python_handlers.evidence(python_handlers.parsed(programs), "expanded").collect()}
     assert set(rows) == {"a.py:10-11", "a.py:32-35", "b.py:10-11", "b.py:18-19"}
     load = rows["a.py:10-11"]
-    assert load["caught"] == "OSError" and load["callers"] == "a.py:15" and '"returned": ["None"]' in load["sentinel_handling"]
-    assert load["interprocedural_flow"] == "return_fanout=1 resolved=1 unresolved=0 edge1=load->wrap return; return_fanout=2 resolved=2 unresolved=0 edge2=wrap->use assign binding=found guard@20->raise@21 return@22; edge2=wrap->box argument field=Box.value"
+    assert load["caught"] == "OSError" and load["callers"] == "a.py:15" and load["sentinel_handling"] == "return=None origin=handler@11"
+    assert load["interprocedural_flow"] == "return_fanout=1 resolved=1 unresolved=0 edge1=load->wrap return terminal=normal_return; return_fanout=2 resolved=2 unresolved=0 edge2=wrap->use assign binding=found guard@20->raise@21 return@22; edge2=wrap->box argument field=Box.value terminal=mixed:core_call+explicit_failure"
     twice = rows["a.py:32-35"]
     assert twice["interprocedural_flow"] == "terminal=ambiguous definitions=2" and twice["handler_control_flow"] == "branches=1 first=raise@34 fallthrough=no if x->raise@34"
     each = rows["b.py:10-11"]
-    assert each["handler_control_flow"].startswith("branches=0 first=continue@11 fallthrough=no skips 1 statements") and "overwritten" not in each["dataflow"]
+    assert each["handler_control_flow"].startswith("branches=0 first=continue@11 fallthrough=no skips 1 statements")
+    assert json.loads(each["dataflow"]) == {"tracked": ["out"], "pre_try_writes": [[6, "out"]], "mutated": [], "post_handler_reads": [[13, "out"]]}
     assert rows["b.py:18-19"]["interprocedural_flow"] == "" and rows["b.py:18-19"]["scope"] == "<module>"
 
 
+def test_handler_facts():
+    text = """
+def run(rows, cfg):
+    best, state.last = None, 0
+    for row in rows:
+        try:
+            best = parse(row)
+            cfg["k"] = best
+            seen.append(row)
+        except (KeyError, ValueError):
+            if row.ok:
+                save_row(row)
+                continue
+            elif cfg:
+                log(row)
+            best = []
+            break
+        use(best)
+    if not best:
+        raise ValueError
+    print(state.last.x)
+    return best
+"""
+    h = python_handlers.parse_file("m.py", text)["handlers"][0]
+    assert h["caught"] == "(KeyError, ValueError)" and h["transfer"] == "continue@12" and h["exits"] is True
+    assert h["outcomes"] == "if row.ok->continue@12 else->fallthrough; if cfg->fallthrough"
+    assert json.loads(h["dataflow"]) == {"tracked": ["best"], "pre_try_writes": [[3, "best"]], "mutated": [], "post_handler_reads": [[17, "best"], [18, "best"], [21, "best"]]}
+    assert h["sentinels"] == "best=[] origin=handler@15 guard=guard@18->raise@19 use=passed@17:use"
+    assert json.loads(h["hints"]) == {"controls": ["row.ok", "cfg"], "calls": ["save_row", "log"], "persistence": ["save_row"]}
+    key = lambda e: python_handlers.expression_key(ast.parse(e, mode="eval").body)
+    assert [key(e) for e in ("a", "a.b[0].c", "f().x", "a[1]", "1")] == ["a", "a.b.c", "", "a", ""]
+    assert python_handlers.touches("a.b", {"a"}) and python_handlers.touches("a", {"a.b"}) and not python_handlers.touches("ab", {"a"})
+    assert python_handlers.line_window(["1", "2", "3", "4"], 2, 1, 100) == "1\n2\n3" and python_handlers.line_window(["123456789"], 1, 5, 8) == "12345..."
+    pairs = python_handlers.assigned_pairs(ast.parse("a, (b, c.d) = 1, (None, x)").body[0])
+    assert [(k, ast.unparse(v)) for k, v in pairs] == [("a", "1"), ("b", "None"), ("c.d", "x")]
+
+
 def test_fan_out_is_bounded_and_the_function_itself_no_caller(spark):
     text = "def f(x):\n    try:\n        return f(x - 1)\n    except ValueError:\n        return {}\n\n\ndef g():\n" + "".join(f"    a{i} = f({i})\n" for i in range(9))
     files = lambda n: spark.createDataFrame([("m.py", "\n".join(text.split("\n")[: 8 + n]) + "\n")], "source string, text string")
     flow = lambda n: lines_of(python_handlers.evidence(python_handlers.parsed(files(n)), "expanded").first()["evidence"])["interprocedural_flow"]
     assert flow(9) == "terminal=unknown sites=9"
-    assert flow(8).startswith("return_fanout=8 resolved=0 unresolved=8 edge1=f->g assign binding=a0;")
+    assert flow(8).startswith("return_fanout=8 resolved=0 unresolved=8 edge1=f->g assign binding=a0;") and flow(8).endswith("terminal=unknown")
     assert python_handlers.parse_id("pkg/a.py:3-9") == ("pkg/a.py", 3, 9)
     for bad in ("a.py", "a.py:9-3", "a.py:x-3", ":1-2"):
         with pytest.raises(C.ContractError):
