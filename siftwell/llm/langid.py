@@ -136,6 +136,7 @@ class Scorer:
         self.letters = {lang: sum(k for g, k in by.items() if len(g) == 1) for lang, by in self.seen.items()}
         self.steps: dict[str, dict[str, float]] = {lang: {} for lang in self.langs}
         self.index: dict[str, int] = {}  # rows of the three
+        self.long: list[str] = []  # words with the last rows
         self.table = np.zeros((256, len(self.langs)))
         self.fluent = np.full((256, len(self.langs)), np.nan)
         self.sizes = np.zeros(256)
@@ -182,9 +183,9 @@ class Scorer:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The words' rows. Words of more than CACHED_CHARS letters are forgotten at the next call."""
-        for w in [w for w in reversed(self.index) if len(w) > CACHED_CHARS] if self.long else ():
+        for w in self.long:
             del self.index[w]
-        self.long = False
+        self.long = []
         if len(self.index) > min(CACHED, CELLS // max(1, len(self.langs))):
             self.index.clear()
         found = list(map(self.index.get, words))
@@ -194,12 +195,11 @@ class Scorer:
                 if at == len(self.table):
                     self.table, self.fluent, self.sizes = (np.concatenate([x, np.full_like(x, np.nan)]) for x in (self.table, self.fluent, self.sizes))
                 self.table[at], self.fluent[at], self.sizes[at] = self.word(w), np.nan, len(w) + 1
-                self.long = self.long or len(w) > CACHED_CHARS
+                if len(w) > CACHED_CHARS:
+                    self.long.append(w)
             found = list(map(self.index.__getitem__, words))
         return np.array(found, np.int64)
 
-    long = False
-
     def fluency(self, words: list[str], lang: str) -> float:
         """The mean log-likelihood of a character of ``words`` in ``lang``."""
         return self._fluency(words, self.rows(words), self.langs.index(lang))
