@@ -4,7 +4,8 @@ Words are runs of anything but ASCII white space. A shingle is ``width`` words (
 shingle, and the signature is all ones). Each word hashes once (xxhash), a polynomial in numpy makes the shingle hashes, and
 each of the ``PERMUTATIONS`` universal permutations ``a*h + b mod 2^32`` (a odd) keeps its minimum, of which 16 bits are stored.
 
-Near duplicates are found exactly among all pairs that share a band, also in crowds: see :func:`classes`.
+Near duplicates are found exactly among all pairs that share a band, also in crowds: see :func:`classes`. On demand pairs whose
+SimHash fingerprints differ in two bits or fewer are candidates as well, found by Golay keys.
 
 Null texts count as empty. Empty texts are alike. Repeated rows stay rows; rows of one doc_id are one document, and a row without
 doc_id is a document of its own. An empty table gives an empty table. Other columns of the input are not looked at. Texts of any
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, simhash
 
 WIDTH, PERMUTATIONS, BANDS, ROWS, THRESHOLD = 5, 128, 25, 5, 0.8
 #: Sets that a task holds at once to compare others with; rows that are compared with them in one task.
@@ -211,17 +212,22 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("th"), text.alias("text"))
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, lower: bool = True) -> DataFrame:
-    """(row, doc_id, th, keys) for every row, written to the shared folder: th is the text's SHA-256, keys are those of its bands."""
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, lower: bool = True, prints: bool = False) -> DataFrame:
+    """(row, doc_id, th, keys) for every row, written to the shared folder: th is the text's SHA-256, keys are those of its bands.
+    ``prints``: fp, the SimHash fingerprint of its shingles (ASCII letters in lower case), comes with them."""
     shared.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = band_keys(signatures(batch.column(2).to_pylist(), width, lower)).view(np.int64)
+            texts = batch.column(2).to_pylist()
+            keys = band_keys(signatures(texts, width, lower)).view(np.int64)
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["doc_id", "th", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))]
+            if prints:
+                columns.append(pa.array(np.array([simhash.fingerprint_of(t, width) for t in texts], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "keys", "fp"][: len(columns)])
 
-    found = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, th binary, keys array<long>")
+    found = _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, th binary, keys array<long>" + (", fp long" if prints else ""))
     return shared.materialize(found.withColumn("row", F.monotonically_increasing_id()), "mh-marked")
 
 
@@ -296,13 +302,24 @@ def _spread(rows: DataFrame) -> DataFrame:
     return held.unionByName(passing).select(F.col("key").alias("a"), "b", "c", "side", "node", "grp")
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(node, key) from (node, fp): nodes whose fingerprints links of two bits or fewer join have one key."""
+    reps = shared.materialize(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "mh-prints")
+    label = shared.components(simhash.links(reps), "u", "v")
+    group = reps.join(label, reps["rep"] == label["id"], "left").select("fp", F.coalesce("component", "rep").alias("group"))
+    found = shared.materialize(nodes.join(group, "fp").select("node", F.xxhash64(F.lit("simhash"), "group").alias("key")), "mh-near-prints")
+    shared.release(reps, label)
+    return found
+
+
 def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, lower: bool = True) -> DataFrame:
     """(row, doc_id, th, class_id, class) for every row of ``found``, which is what :func:`marked` makes of ``docs``.
 
     Documents whose sets of shingles have a Jaccard similarity of ``threshold`` or more link, and a class is all that links lead to;
     class_id is its smallest doc_id, null if no row of it has one. Rows with equal texts are one node.
 
-    Nodes that share a band key are candidates, verified on whole sets. First each key's smallest node is compared with all others
+    Nodes that share a band key are candidates, verified on whole sets, and if ``found`` has fingerprints, so are nodes that links of
+    two differing bits or fewer join, which share a key of their own. First each key's smallest node is compared with all others
     of the key, and the links found are followed. Then all pairs of a key that are still in different classes are compared, in
     blocks. A pair within a class can't change the classes, so no link between classes is lost, while a crowd of near copies costs
     work linear in it. Bands are a probabilistic filter: at a similarity of 0.8 a pair is missed with a chance below 0.0001.
@@ -311,6 +328,8 @@ def classes(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, id_
     known = shared.materialize(found.join(least, "th"), "mh-known")
     nodes = known.where("row = node").select("node", "th", "doc_id")
     index = known.where("row = node").select("node", F.explode("keys").alias("key"))
+    if "fp" in found.columns:
+        index = index.unionByName(_near_prints(known.where("row = node").select("node", "fp")))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").select("key", "pivot")
     many = shared.materialize(index.join(sizes, "key"), "mh-shared")
     pairs = many.where("node <> pivot").select("pivot", "node").distinct()
@@ -355,11 +374,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
 def survivors(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept: of each class one row of the document with the smallest id (of its texts the
-    one with the smallest digest); of a class in which no row has an id, one row.
+    one with the smallest digest); of a class in which no row has an id, one row. Candidates are pairs that share a band and pairs whose
+    SimHash fingerprints Golay keys find within two bits.
 
     What goes is looked up by (doc_id, digest), so that whole texts needn't be shuffled while the losers are few.
     """
-    found = classes(marked(docs, id_col, text_col, width), docs, threshold, id_col, text_col, width)
+    found = classes(marked(docs, id_col, text_col, width, prints=True), docs, threshold, id_col, text_col, width)
     key = F.coalesce("doc_id", F.lit(LOWEST))
     each = found.groupBy("class", F.col("doc_id").isNull().alias("none"), key.alias("key"), "th").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("class").agg(F.min(F.struct("none", "key", "th")).alias("best"))

@@ -33,7 +33,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates (five words, a Jaccard similarity of 0.8) stays, the one with the smallest id;
-    rows of one id are one document, and of texts without any word one stays."""
+    rows of one id are one document, and of texts without any word one stays. SimHash with Golay keys and MinHash bands both give
+    candidates, and each is verified."""
     return minhash.survivors(docs)
 
 

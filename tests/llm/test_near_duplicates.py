@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from siftwell.llm import minhash, queries, shared, stages
+from siftwell.llm import minhash, queries, shared, simhash, stages
 
 
 def shingle_set(text):
@@ -129,3 +129,17 @@ def test_fingerprints_have_classes(spark):
     texts = ["", "é\U0001f642", "x" * 100_000]
     back = shared.packed(spark.createDataFrame([(t,) for t in [*texts, None]], "text string")).collect()
     assert [r["text"] and shared.unpacked(bytes(r["text"])) for r in back] == [*texts, None]
+
+
+def test_stage_joins_golay_keys_too(spark):
+    """A pair at 0.8 that shares no band has equal SimHash fingerprints; a third text has the same and is far from 0.8: it stays."""
+    r = random.Random(9888)
+    often = " ".join(["again and again and on"] * 60)
+    own = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    rows = [(1, f"{often} {' '.join(own)}"), (2, f"{often} {' '.join([*own[:20], 'x', *own[21:]])}"), (3, f"{often} {' '.join(own[::-1])}"), (4, "apart from all")]
+    a, b = minhash.band_keys(minhash.signatures([t for _, t in rows[:2]], minhash.WIDTH, True))
+    assert not (a == b).any() and len({simhash.fingerprint_of(t, minhash.WIDTH) for _, t in rows[:3]}) == 1
+    want = brute_classes(rows)
+    assert want == {1: 1, 2: 1, 3: 3, 4: 4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in stages.near_duplicates(spark, docs, "").collect()) == [1, 3, 4]
