@@ -175,6 +175,8 @@ class Shard:
 
 #: Words of precomposed Latin letters are one pre-token each.
 WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Such a word between ASCII marks; an apostrophe may belong to a word, and added tokens hold "<". Each part is one pre-token.
+MARKED = re.compile("([!-&(-/:;=-@\\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\\[-`{-~]*)")
 #: A full stop or comma that ends a chunk but follows no such letter.
 ODD = re.compile("[.,](?<![A-Za-zÀ-ÖØ-öø-ÿ].)(?: |\\Z)")
 
@@ -190,7 +192,8 @@ def _latin(text: str) -> bool:
 class ChunkTokenizer:
     """A tokenizers file with word ends whose pre-tokens hold no white space. Chunks between spaces and line ends encode alone,
     and are remembered. In plain Latin texts marks after a word are cut off first, and case is dropped as the file does. New words
-    go to the library joined by spaces, many in a call, and the ids are cut after those of a word end. A file whose rules are not
+    go to the library joined by spaces, many in a call, in lower case and without the rules that leave them as they are, and the ids are
+    cut after those of a word end; words between marks are put together of their parts. A file whose rules are not
     these encodes whole texts."""
 
     #: The rules under which chunks encode alone: white space only separates, and no word goes beyond it.
@@ -202,7 +205,7 @@ class ChunkTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -214,12 +217,16 @@ class ChunkTokenizer:
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.chunks = (rules.get("normalizer"), rules.get("pre_tokenizer"), rules["model"].get("end_of_word_suffix")) == self.RULES
+        if self.chunks:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words).lower()], add_special_tokens=False)[0].ids, self.kind)
         cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
         if len(cuts) != len(words):
             return self._alone(words)
@@ -239,13 +246,27 @@ class ChunkTokenizer:
                 t = t.lower().replace(", ", " , ").replace(". ", " . ")
             cut.append(t.split(" "))
         new = list(set().union(*cut).difference(self.memo)) if cut else []
-        plain = [x for x in new if WORD.fullmatch(x)]
-        other = list(set(new).difference(plain))
+        plain, other, marked = [], [], []
+        for x in new:
+            found = MARKED.fullmatch(x)
+            if not found:
+                other.append(x)
+            elif len(found[2]) == len(x):
+                plain.append(x)
+            else:
+                marked.append((x, found.groups()))
+        if marked:
+            words = {w for _, (_, w, _) in marked}.difference(self.memo, plain)
+            marks = {m for _, (a, _, b) in marked for m in (a, b)}.difference(self.memo, other)
+            plain += words
+            other += marks
+            new += [*words, *marks]
         for some in (plain[i : i + 500] for i in range(0, len(plain), 500)):
             self.memo.update(zip(some, self._joined(some)))
         for some in (other[i : i + 1000] for i in range(0, len(other), 1000)):
             self.memo.update(zip(some, self._alone(some)))
         get = self.memo.__getitem__
+        self.memo.update((x, b"".join(map(get, parts))) for x, parts in marked)
         out = [b"".join(map(get, parts)) for parts in cut]
         for chunk in new:
             if len(chunk) > CACHED_CHARS:
