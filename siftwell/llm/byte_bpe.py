@@ -266,14 +266,11 @@ class Encoder:
 
 
 _NONE = np.zeros(0, np.int64)
-_LOADED: dict[str, Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """This process's encoder for a rank file, which every worker has at ``path``."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Encoder(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    """This process's encoder for a rank file, which every worker has at ``path``, with all it remembers."""
+    return shared.kept(("byte_bpe", path, pattern), lambda: Encoder(load_ranks(path), pattern))
 
 
 def digest_schema(id_col: str = "doc_id") -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 FIT_DOCS, WORDS, GRAMS, GRAM, LANGS = 20_000, 20_000, 10_000, 4, 256
-SMOOTHING, CACHED, CELLS, CACHED_CHARS = 0.5, 300_000, 1 << 21, 48
+SMOOTHING, CACHED, CELLS, CACHED_CHARS, ADDED = 0.5, 300_000, 1 << 21, 48, 1 << 15
 #: Log-likelihood of a step back to a shorter n-gram, and of an unseen character; documents of each language that teach its floor.
 BACK, UNSEEN, FLOOR_DOCS = -0.9, -20.0, 200
 PIECE, LONG = 1 << 15, "#"
@@ -73,6 +73,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
             columns = list(zip(*out)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["lang", "word", "g", "n"])
 
+        shared.forget()
         for batch in batches:
             words, grams = Counter(), Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -121,18 +122,32 @@ def _logs(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, np.n
     return {item: row for item, row in zip(items, logs)}
 
 
+def packed(model: dict) -> dict:
+    """The model as workers get it: lists of names beside one array each, which take far less memory than an array for each name."""
+    langs, seen = model["langs"], model.get("seen", {})
+    by: dict[str, list[tuple[str, int]]] = {lang: [] for lang in langs}
+    for gram, counts in seen.items():
+        for lang, k in counts.items():
+            by[lang].append((gram, k))
+    at = {g: i for i, g in enumerate(dict.fromkeys([*model["grams"], *seen]))}
+    out = {"packed": True, "langs": langs, "grams": list(at), "seen": {lang: (np.array([at[g] for g, _ in x], np.int32), np.array([k for _, k in x], np.int64)) for lang, x in by.items()}}
+    for kind in ("words", "grams"):
+        out[f"{kind[:-1]}_logs"] = np.array(list(model[kind].values()), float).reshape(len(model[kind]), len(langs))
+    return out | {"words": list(model["words"])}
+
+
 class Scorer:
     """Scores words and remembers them: a row of log-likelihoods by language, and of fluency where it was asked for."""
 
     def __init__(self, model: dict) -> None:
-        self.langs, self.known = model["langs"], model["words"]
-        self.grams = {g: i for i, g in enumerate(model["grams"])}
-        floor = np.full((1, len(self.langs)), -20.0)
-        self.gram_logs = np.concatenate([np.array(list(model["grams"].values()), float).reshape(len(self.grams), len(self.langs)), floor])
-        self.seen: dict[str, dict[str, int]] = {lang: {} for lang in self.langs}
-        for gram, by in model.get("seen", {}).items():
-            for lang, k in by.items():
-                self.seen[lang][gram] = k
+        if "packed" not in model:
+            model = packed(model)
+        self.langs, self.word_logs = model["langs"], model["word_logs"]
+        self.known = {w: i for i, w in enumerate(model["words"])}
+        self.grams = {g: i for i, g in enumerate(model["grams"][: len(model["gram_logs"])])}
+        self.gram_logs = np.concatenate([model["gram_logs"], np.full((1, len(self.langs)), -20.0)])
+        name = model["grams"].__getitem__
+        self.seen: dict[str, dict[str, int]] = {lang: dict(zip(map(name, at.tolist()), n.tolist())) for lang, (at, n) in model["seen"].items()}
         self.letters = {lang: sum(k for g, k in by.items() if len(g) == 1) for lang, by in self.seen.items()}
         self.steps: dict[str, dict[str, float]] = {lang: {} for lang in self.langs}
         self.index: dict[str, int] = {}  # rows of the three
@@ -157,7 +172,7 @@ class Scorer:
 
     def word(self, word: str) -> np.ndarray:
         found = self.known.get(named(word))
-        return self.backoff(word) if found is None else found
+        return self.backoff(word) if found is None else self.word_logs[found]
 
     def _step(self, gram: str, found: int, lang: str) -> float:
         """The log-likelihood of a gram's last character after those before it."""
@@ -192,8 +207,8 @@ class Scorer:
         if None in found:
             for w in sorted({w for w, at in zip(words, found) if at is None}, key=len):  # so that long words have the last rows
                 at = self.index[w] = len(self.index)
-                if at == len(self.table):
-                    self.table, self.fluent, self.sizes = (np.concatenate([x, np.full_like(x, np.nan)]) for x in (self.table, self.fluent, self.sizes))
+                if at == len(self.table):  # twice as many rows, or ADDED more
+                    self.table, self.fluent, self.sizes = (np.concatenate([x, np.full_like(x[:ADDED], np.nan)]) for x in (self.table, self.fluent, self.sizes))
                 self.table[at], self.fluent[at], self.sizes[at] = self.word(w), np.nan, len(w) + 1
                 if len(w) > CACHED_CHARS:
                     self.long.append(w)
@@ -230,7 +245,7 @@ class Scorer:
 
 def with_language(docs: DataFrame, model: dict, lang_name: str, score_name: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the predicted language and its score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
     hold: list[Scorer] = []
 
     def compute(texts: list[str | None]) -> list[pa.Array]:
@@ -253,9 +268,10 @@ def identified(docs: DataFrame) -> DataFrame:
 def floors(rows: DataFrame, model: dict) -> dict[str, tuple[float, float]]:
     """For each language (floor, usual): the usual fluency is the median of its training documents (id, lang, text), the floor lies
     halfway from there to the median of the same documents with their letters shuffled."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.forget()
         scorer = Scorer(sent.value)
         for batch in batches:
             out = []
@@ -283,7 +299,7 @@ def accepted(docs: DataFrame, least: float = 0.5, text_col: str = "text") -> Dat
     model = fit(taught, text_col=text_col)
     bounds = floors(training(taught, "lang", text_col, "doc_id", FIT_DOCS), model)
     lang, score = shared.fresh(docs, "found_lang"), shared.fresh(docs, "found_score")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(packed(model))
     hold: list[Scorer] = []
 
     def compute(texts: list[str | None]) -> list[pa.Array]:

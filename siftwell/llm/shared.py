@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import zstandard
@@ -18,6 +20,31 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 #: A lookup side of at most so many rows and bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: What this process keeps from task to task, by a key.
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this process until another key is asked for or :func:`forget` is called. Python workers
+    outlive a stage, so that without this the tables of all operators that ever ran would add up."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Give back the memory of what operators before keep in this process."""
+    if _KEPT:
+        _KEPT.clear()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -180,6 +207,7 @@ def append(docs: DataFrame, text_col: str, fields: list[tuple[str, str]], comput
         schema = T.StructType([*schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             made = compute(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[f for f, _ in fields]])

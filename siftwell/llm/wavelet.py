@@ -274,13 +274,8 @@ class ChunkTokenizer:
         return out
 
 
-_LOADED: dict[str, ChunkTokenizer] = {}
-
-
 def tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTokenizer(path)
-    return _LOADED[path]
+    return shared.kept(("wavelet", path), lambda: ChunkTokenizer(path))
 
 
 def _store(folder: str, name: str, data: bytes) -> str:
