@@ -91,9 +91,13 @@ def _solid(text: Column, regex: str) -> Column:
 HITS = "array<struct<off:int,line:int,column:int,m:string>>"
 
 
+def _python_source(pattern: contracts.Pattern) -> str:
+    return re.escape(pattern.regex) if pattern.literal else python_regex(pattern.regex, pattern.flags)
+
+
 def _empty_hits(pattern: contracts.Pattern):
     """A function on Arrow batches for a pattern that may match nothing: after such a match the search moves on by one code unit."""
-    source = re.escape(pattern.regex) if pattern.literal else python_regex(pattern.regex, pattern.flags)
+    source = _python_source(pattern)
 
     @F.pandas_udf(HITS)
     def hits(texts: pd.Series) -> pd.Series:
@@ -115,6 +119,18 @@ def _empty_hits(pattern: contracts.Pattern):
     return hits
 
 
+def _empty_count(pattern: contracts.Pattern):
+    """How many matches :func:`_empty_hits` has, which may be more than characters, one at a time: none is kept."""
+    source = _python_source(pattern)
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        find = re.compile(source).finditer
+        return pd.Series([sum(1 for _ in find(text or "")) for text in texts], dtype="int64")
+
+    return count
+
+
 def short_hash(text: Column) -> Column:
     """Twelve hex digits of a two-lane 32-bit multiply and xor over UTF-16 code units."""
     digits = F.hex(F.encode(text, "UTF-16BE"))
@@ -181,7 +197,7 @@ def counts(files: DataFrame, patterns: tuple[contracts.Pattern, ...]) -> DataFra
     """(pattern_id, n) without places: matches are counted in the text."""
     text, each = F.coalesce(F.col("text"), F.lit("")), []
     for p in patterns:
-        n = F.size(_empty_hits(p)(text)) if not p.literal and may_be_empty(p.regex) else F.regexp_count(text, F.lit(pattern_regex(p)))
+        n = _empty_count(p)(text) if not p.literal and may_be_empty(p.regex) else F.regexp_count(text, F.lit(pattern_regex(p)))
         each.append(F.struct(F.lit(p.id).alias("pattern_id"), n.cast("long").alias("n")))
     return files.select(F.explode(F.array(*each)).alias("x")).where("x.n > 0").groupBy("x.pattern_id").agg(F.sum("x.n").alias("n"))
 

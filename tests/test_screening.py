@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,22 @@ def test_offsets_and_zero_width(spark):
     assert [r["h"] for r in hashes] == ["0f98b96ebdd1", "60248c017787", "1ad0739c188d", "2edecbfb7ac6", "811c9dc59e37"]
 
 
+def test_empty_matches_are_counted_one_by_one(spark, monkeypatch):
+    texts = ["", "a!!b", "!!!", "🙂!", "\n!a\n", None]
+    files = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "source string, text string")
+    patterns = [C.Pattern("p", "p", x) for x in ("!*", r"\b|(?=a)", "(!)?(a)?")]
+    want = [[("p", discovery.located(files, (p,)).count())] for p in patterns]
+    monkeypatch.delattr(discovery, "_empty_hits")  # a count makes no places
+    assert [[tuple(r) for r in discovery.counts(files, (p,)).collect()] for p in patterns] == want
+    long = pd.Series(["ab! " * 50_000])
+    tracemalloc.start()
+    try:
+        assert list(discovery._empty_count(patterns[0]).func(long)) == [200_001]
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def brute_matches(text, pattern):
     """Places in UTF-16 code units, counted one by one."""
     wide = lambda x: len(x.encode("utf-16-le")) // 2
