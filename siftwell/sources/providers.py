@@ -43,7 +43,8 @@ class Provider(Protocol):
 
 @dataclass
 class GenericProvider:
-    """Patterns over files."""
+    """Patterns over files. The source's limits bound a folder, which the driver lists; a table is screened whole, however many rows,
+    bytes and candidates it has."""
 
     source: Source
     id: str = "generic-source"
@@ -54,7 +55,7 @@ class GenericProvider:
         return scope if isinstance(scope, DataFrame) else tree.read_tree(spark, scope, self.source)
 
     def discover(self, spark: SparkSession, scope: str | DataFrame) -> DataFrame:
-        return discovery.in_order(discovery.candidates(self.files(spark, scope), self.source, check=True))
+        return discovery.in_order(discovery.candidates(self.files(spark, scope), self.source, check=not isinstance(scope, DataFrame)))
 
     def count(self, spark: SparkSession, scope: str | DataFrame) -> int:
         files = self.files(spark, scope)
