@@ -11,7 +11,7 @@ from siftwell.sources import providers
 from tests.oracle import both, connect
 
 
-@pytest.mark.parametrize("name", ["candidate_order", "session_manifest", "evidence_by_ids", "session_refinement", "session_review_targets"])
+@pytest.mark.parametrize("name", ["candidate_order", "session_manifest", "evidence_by_ids", "session_refinement", "session_review_targets", "session_summary"])
 def test_tables_beyond_the_limits_are_screened_whole(spark, tmp_path, monkeypatch, name):
     texts = [f"line {i}\nthe token: a{i} and\npassword = b{i}" if i % 3 else f"none {i}" for i in range(40)]
     pd.DataFrame({"doc_id": range(40), "text": texts, "lang": "en", "source": [f"src{i % 4}" for i in range(40)]}).to_parquet(tmp_path / "documents.parquet")
